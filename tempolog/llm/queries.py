@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, simhash
-from .common import table
+from . import decontaminate, exact_dedup, langid, licenses, mixing, quality, simhash, token_output
+from .common import held_out, table
+
+#: The tokenizer of the token-id output; its file is found at run time and never copied.
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +25,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_output.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return token_output.read_digests(files)
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_benchmark_leaks, op3_exact_dedup, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_license_scan, op2_benchmark_leaks, op3_exact_dedup, op4_quality_mil, op5_token_ids, op6_source_mix, op7_language_id, op10_simhash)
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
