@@ -27,7 +27,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Leading characters in the sort key: they only place a row, whole texts are compared.
 KEY_CHARS = 12
 #: A text with more rows than this is dealt over several ranges.
-HOT_ROWS = 2_000
+HOT_ROWS = 500
 #: Rows of the broadcast table of hot texts at most (16 bytes each).
 MOST_HOT = 10_000
 
@@ -53,16 +53,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     salted = rows.join(F.broadcast(hot), "h", "left") if any_hot else rows.withColumn("salts", F.lit(None).cast("long"))
     salted = salted.withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts"))).cast("int"))
 
-    ranged = salted.select("doc_id", "norm", "salts", F.substring("norm", 1, KEY_CHARS).alias("k"), "h", "salt").repartitionByRange("k", "h", "salt")
-    # The ranges already hold each (k, h, salt) whole: no further exchange for these windows.
-    in_order = Window.partitionBy("k", "h", "salt").orderBy("norm", "doc_id")
+    key = ["k", "h", "salt"] if any_hot else ["k", "h"]
+    ranged = salted.select("doc_id", "norm", "salts", F.substring("norm", 1, KEY_CHARS).alias("k"), "h", "salt").repartitionByRange(*key)
+    # The ranges already hold each key whole: no further exchange for these windows.
+    in_order = Window.partitionBy(*key).orderBy("norm", "doc_id")
     runs = ranged.withColumn("new", F.coalesce(F.lag("norm").over(in_order) != F.col("norm"), F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.select(
         "doc_id", "k", "h", "salt", "run", F.sha2("norm", 256).alias("text_sha256"),
         F.when(F.col("salts").isNotNull() & (F.col("new") == 1), F.col("norm")).alias("norm"),
     )
-    run = Window.partitionBy("k", "h", "salt", "run")
+    run = Window.partitionBy(*key, "run")
     runs = runs.withColumns({"keep_id": best("doc_id").over(run), "group_size": F.count("*").over(run)})
     runs = written(runs, "exact-runs")
     done = runs.select("doc_id", "keep_id", "group_size", "text_sha256")
