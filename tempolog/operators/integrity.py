@@ -1,7 +1,7 @@
 """Integrity rules: each is one query of ``severity, rule, file, detail``; :func:`doctor` is their union.
 
 The relations come from a scan of the whole file in file order
-(:func:`tempolog.sources.records.relations`) or from any tables of those shapes.
+(:func:`tempolog.sources.datasource.relations`) or from any tables of those shapes.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def statistics_channels(statistics: DataFrame, summary_channels: DataFrame) -> D
 
 
 def doctor(r: dict[str, DataFrame], strict: bool = False) -> DataFrame:
-    """All rules over the relations of some files (see :func:`tempolog.sources.records.relations`)."""
+    """All rules over the relations of some files (see :func:`tempolog.sources.datasource.relations`)."""
     ch, sc = r["channels"], r["schemas"]
     schema_fields, channel_fields = ["name", "encoding", "data"], ["schema_id", "topic", "message_encoding", "metadata"]
     out = [
