@@ -55,9 +55,9 @@ def coalesce_channels(messages: DataFrame, mode: str = "auto") -> DataFrame:
     # one row a channel after map-side aggregation; only these are numbered
     per = messages.groupBy("input_idx", "channel_id", "schema_key", "topic", "message_encoding", "channel_metadata").agg(F.min(F.struct(*MERGE_ORDER)).alias("first"))
     groups = per.groupBy(*keys[mode]).agg(F.min("first").alias("first"))
-    numbered = groups.withColumn("out_id", F.row_number().over(Window.orderBy("first"))).drop("first")
-    cond = [per[k].eqNullSafe(numbered[k]) for k in keys[mode]]
-    return per.join(numbered, cond).select(per["input_idx"], per["channel_id"], "out_id")
+    numbered = groups.select(*[F.col(k).alias(f"_{k}") for k in keys[mode]], F.row_number().over(Window.orderBy("first")).alias("out_id"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys[mode]]
+    return per.join(numbered, same).select("input_idx", "channel_id", "out_id")
 
 
 def check_ids(mapping: DataFrame) -> DataFrame:
