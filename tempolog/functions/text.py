@@ -18,7 +18,7 @@ def human_bytes(n: Column) -> Column:
     out = None
     units = ("B", "kB", "MB", "GB", "TB", "PB")
     for i, unit in enumerate(units):
-        value = F.round(n.cast("double") / F.lit(1000.0**i), 2)
+        value = F.round(n.cast("double") / F.lit(1000.0**i) * 100) / 100
         shown = F.concat(F.format_string("%.2f", value), F.lit(f" {unit}"))
         last = i == len(units) - 1
         out = (F.when(value < 1000, shown) if out is None else out.otherwise(shown) if last else out.when(value < 1000, shown))
