@@ -144,19 +144,22 @@ def midpoints(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def forest(fp: np.ndarray, ids: np.ndarray, most: int = 2) -> list[tuple[int, int]]:
     """Links that connect what is at distance ``most`` or less: each id with the least of its piece."""
-    n = len(fp)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= most
-    label = np.arange(n)
+    return _connect(near, ids)
+
+
+def _connect(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Each id with the least of its connected piece."""
+    n = len(ids)
     order = np.argsort(ids)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     label = rank.copy()
     while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
+        new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
         if (new == label).all():
-            break
+            return [(int(ids[i]), int(ids[order[label[i]]])) for i in range(n) if label[i] != rank[i]]
         label = new
-    return [(int(ids[i]), int(ids[order[label[i]]])) for i in range(n) if label[i] != rank[i]]
 
 
 def links(nodes: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
@@ -213,3 +216,113 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(links(nodes, most_paired))
     nodes = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return docs.join(nodes, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# ---- near copies: wide fingerprints of word sets
+
+#: Bits of 128 at which near copies link.  Texts whose five-word shingles are 0.8 alike differ by about 6 bits, at most
+#: by about 14 in nine cases of ten; unrelated texts of one language by more than 30 (figures in the README).
+NEAR_BITS = 14
+#: Leaders that each member of a large key group is compared with first.
+LEADERS = 8
+#: Of the six segments of 21 or 22 bits, those whose codeword indices make a key together.
+_PAIRS = ((0, 1), (2, 5), (3, 4))
+
+
+def wide_fingerprint(text: bytes) -> bytes:
+    """128 bits on the distinct words of a text, lower-cased (A-Z)."""
+    words = set(text.lower().split())
+    if not words:
+        return bytes(16)
+    digest = xxhash.xxh128_digest
+    raw = np.frombuffer(b"".join([digest(w) for w in words]), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(raw), 1 << 15):
+        ones += np.unpackbits(raw[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(raw)).tobytes()
+
+
+def _wide_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)``: pairs of codeword indices of two segments, for each of the pairs."""
+    index = []
+    for half in (lo, hi):
+        for at, n in _SEGMENTS:
+            word = ((half >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
+            index.append(np.sort(codeword_index(word[:, None] ^ _BALL), axis=1))
+    rows, keys = [], []
+    for p, (i, j) in enumerate(_PAIRS):
+        first = [np.concatenate([np.ones((len(lo), 1), bool), x[:, 1:] != x[:, :-1]], axis=1) for x in (index[i], index[j])]
+        both = first[0][:, :, None] & first[1][:, None, :]
+        r, a, b = np.nonzero(both)
+        rows.append(r)
+        keys.append(p << 24 | index[i][r, a] << 12 | index[j][r, b])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _wide_forest(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``a, b``: links that connect what is near in each group of ``by`` (of bounded size)."""
+
+    def pair(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = set()
+        for members in batch.column("members"):
+            lo, hi, ids = (members.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "id"))
+            lo, hi = lo.view(np.uint64), hi.view(np.uint64)
+            near = np.bitwise_count(lo[:, None] ^ lo[None, :]).astype(np.int16) + np.bitwise_count(hi[:, None] ^ hi[None, :]) <= most
+            np.fill_diagonal(near, False)
+            if near.any():
+                out.update(_connect(near, ids))
+        a, b = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    groups = df.groupBy(*by).agg(F.collect_list(F.struct("lo", "hi", "id")).alias("members"))
+    return map_arrow(groups.select("members"), pair, "a long, b long")
+
+
+def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_PAIRED) -> DataFrame:
+    """``a, b`` (ids, a > b) that connect the fingerprints of ``nodes`` (``lo, hi`` distinct, ``id``) that share a key and are near.
+
+    Key groups up to ``most_paired`` are compared in one piece.  Members of larger ones are first compared with a few
+    leaders, which costs a row each and joins what is one large group of copies; only groups that still have several
+    components are then compared block against block, in pieces of bounded size, so that no link is lost.
+    """
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lo, hi = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("lo", "hi"))
+        rows, keys = _wide_keys(lo, hi)
+        rows = pa.array(rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in ("lo", "hi", "id"))], ["key", "lo", "hi", "id"])
+
+    keyed = map_arrow(nodes.select("lo", "hi", "id"), each, "key long, lo long, hi long, id long")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = written(keyed.join(sizes, "key"), "near-keys")
+    found = _wide_forest(sized.where(F.col("n") <= most_paired), ["key"], most)
+    large = sized.where(F.col("n") > most_paired)
+    if not large.head(1):
+        return found.distinct()
+    leaders = large.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("s")).agg(F.min(F.struct("id", "lo", "hi")).alias("l")).select("key", "l")
+    to_leader = large.alias("m").join(leaders.alias("k"), "key").where(F.col("m.id") != F.col("l.id"))
+    near = (F.bit_count(F.col("lo").bitwiseXOR(F.col("l.lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("l.hi")))) <= most
+    star = to_leader.where(near).select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b")).distinct()
+    found = written(found.unionByName(star).distinct(), "near-links")
+    roots = components(found)
+    placed = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / most_paired).cast("int").alias("k"))
+    # One fingerprint of each component and block would not do: links are between fingerprints.  Each block meets each other once.
+    blocks = placed.join(mixed, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    blocks = blocks.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "lo", "hi", "id")
+    return found.unionByName(_wide_forest(blocks, ["key", "i", "j"], most)).distinct()
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = NEAR_BITS, most_paired: int = MOST_PAIRED) -> DataFrame:
+    """One row per document: ``doc_id, component_id`` (the least id reachable over near copies)."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = np.frombuffer(b"".join([wide_fingerprint(t) for t in texts(batch, "t")]), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "lo", "hi"])
+
+    docs = written(map_arrow(docs, each, "doc_id long, lo long, hi long"), "near")
+    nodes = written(docs.where("doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("id")), "near-nodes")
+    roots = components(wide_links(nodes, most, most_paired))
+    nodes = nodes.join(roots, "id", "left").select("lo", "hi", F.coalesce("root", "id").alias("component_id"))
+    return docs.join(nodes, ["lo", "hi"], "left").select("doc_id", "component_id")
