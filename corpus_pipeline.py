@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays, once; rows without an id stay."""
-    found = written(simhash.near_duplicates(docs), "near")
+    """Of each group of near copies the document with the smallest id stays, once; rows without an id stay."""
+    found = written(simhash.near_copies(docs), "near-components")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
