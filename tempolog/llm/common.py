@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 1000
@@ -48,7 +49,7 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``fn`` on every Arrow batch; it returns a batch of ``schema`` or None."""
     bound_batches(df.sparkSession)
 

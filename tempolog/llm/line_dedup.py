@@ -60,12 +60,12 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     lines = written(_hashed(docs, doc_id, text, site), "lines")
     known = boilerplate(lines, min_sites)
     # The boilerplate of one document: no more than its own lines.
-    own = lines.join(known, ["h", "h2"]).groupBy("id").agg(F.collect_set(F.struct("h", "h2")).alias("_drop")).withColumnRenamed("id", "_id")
-    joined = docs.join(own, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    own = lines.join(known, ["h", "h2"]).groupBy("id").agg(F.collect_set(F.struct("h", "h2")).alias("__line_dedup_drop__")).withColumnRenamed("id", "__line_dedup_id__")
+    joined = docs.join(own, F.col(doc_id).eqNullSafe(F.col("__line_dedup_id__")), "left")
     all_ = lines_of(F.col(text))
-    stay = F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), F.struct(line_key(x).alias("h"), F.hash(F.trim(x)).alias("h2"))))
-    kept = F.when(F.col("_drop").isNull(), all_).otherwise(stay)
-    out = joined.select(*[docs[c] for c in docs.columns if c != text], F.size(all_).cast("long").alias("n_lines"), kept.alias("_kept"))
+    stay = F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__line_dedup_drop__"), F.struct(line_key(x).alias("h"), F.hash(F.trim(x)).alias("h2"))))
+    kept = F.when(F.col("__line_dedup_drop__").isNull(), all_).otherwise(stay)
+    out = joined.select(*[docs[c] for c in docs.columns if c != text], F.size(all_).cast("long").alias("n_lines"), kept.alias("__line_dedup_kept__"))
     return out.select(
-        *[F.array_join("_kept", "\n").alias(text) if c == text else F.col(c) for c in docs.columns], "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_removed")
+        *[F.array_join("__line_dedup_kept__", "\n").alias(text) if c == text else F.col(c) for c in docs.columns], "n_lines", (F.col("n_lines") - F.size("__line_dedup_kept__")).alias("n_removed")
     )

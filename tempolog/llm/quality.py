@@ -115,9 +115,10 @@ def _encode(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(8):
         head |= np.where(i < length, padded[pos + i], 0).astype(np.uint64) << np.uint64(8 * i)
     head ^= length.astype(np.uint64) << np.uint64(56)
-    count = np.maximum(1, np.bincount(of_word, minlength=n))
+    held = np.bincount(of_word, minlength=n)
+    count = np.maximum(1, held)
     mean = lambda x: np.bincount(of_word, weights=x, minlength=n) / count
-    figures = [count / PASSAGE_WORDS, mean(length) / 10, mean(length > 15), mean(length == 1)]
+    figures = [held / PASSAGE_WORDS, mean(length) / 10, mean(length > 15), mean(length == 1)]
     for lag in (1, 2, 3):
         same = np.zeros(len(pos))
         same[lag:] = (head[lag:] == head[:-lag]) & (part[lag:] == part[:-lag])

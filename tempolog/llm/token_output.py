@@ -71,20 +71,23 @@ class Encoder:
         vocabulary = self.full.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        #: Special tokens count as such where a text spells them.
+        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def _chunks(text: str) -> list[str] | None:
+    def _chunks(self, text: str) -> list[str] | None:
         """The text lower-cased and cut at spaces and before lone stops and commas: the tokenizer cuts at all of these.
 
         None where it would cut or lower-case otherwise.
         """
-        if _ODD.search(text):
+        if _ODD.search(text) or any(s in text for s in self.added):
             return None
         text = text.lower()
+        if any(s in text for s in self.added):
+            return None
         return _MARK.sub(" ", text).split() if _RUN.search(text) else text.replace(".", " .").replace(",", " ,").split()
 
     def _learn(self, new: list[str]) -> None:
