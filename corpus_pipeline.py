@@ -15,12 +15,14 @@ from tempolog.llm import decontaminate, mixing, quality, simhash, token_output
 from tempolog.llm.common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
+#: Names that no input has.
+SCORE, COPIES = "__pipeline_score__", "__pipeline_copies__"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, score_col="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    return quality.score(docs, model, score_col=SCORE).where(F.col(SCORE) >= quality.THRESHOLD).drop(SCORE)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +41,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or what few edits make of it, go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("doc_id is not null and copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_n"))
+    copies = mixing.mix(docs).where("doc_id is not null and copies > 0").groupBy("doc_id").agg(F.max("copies").alias(COPIES))
     taken = docs.join(copies, "doc_id")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(docs.columns)
+    return taken.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
