@@ -140,6 +140,12 @@ class Engine:
         found = integrity.doctor(datasource.relations(self.spark, path, mode="PERMISSIVE"), strict)
         return Outcome(found, ["see findings"] if found.head(1) else [])
 
+    def validate(self, path: str) -> Outcome:
+        """Decodes every message and checks the order."""
+        self.decoded(path, order_by=None).agg(F.sum(F.length("json"))).collect()
+        late = integrity.out_of_order(self.relation(path, payload=False))
+        return Outcome(late, [f"{n} messages out of order"] if (n := late.count()) else [])
+
     # ---- output
 
     def cat(self, path: str, style: str = "text", **options) -> Outcome:

@@ -21,10 +21,10 @@ START, END = 1_704_844_800_000_000_000, 1_704_844_800_000_000_000 + 10 * DAY
 
 _PRELUDE = f"""
 WITH channels AS (
-    SELECT 'events' AS file, row_number() OVER (ORDER BY event_type, user_id) AS id, dense_rank() OVER (ORDER BY event_type) - 1 AS schema_id, event_type AS topic, 'json' AS message_encoding, user_id
+    SELECT 'events' AS file, CAST(row_number() OVER (ORDER BY event_type, user_id) AS INTEGER) AS id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS schema_id, event_type AS topic, 'json' AS message_encoding, user_id
     FROM (SELECT DISTINCT event_type, user_id FROM events)
 ), schemas AS (
-    SELECT 'events' AS file, id, 'ns/' || topic AS name, 'jsonschema' AS encoding FROM (SELECT row_number() OVER (ORDER BY topic) - 1 AS id, topic FROM (SELECT DISTINCT event_type AS topic FROM events)) WHERE id > 0
+    SELECT 'events' AS file, id, 'ns/' || topic AS name, 'jsonschema' AS encoding FROM (SELECT CAST(row_number() OVER (ORDER BY topic) - 1 AS INTEGER) AS id, topic FROM (SELECT DISTINCT event_type AS topic FROM events)) WHERE id > 0
 ), messages AS (
     SELECT 'events' AS file, c.id AS channel_id, event_type AS topic, event_id AS sequence, epoch_us(ts) * 1000 AS log_time, epoch_us(ts) * 1000 AS publish_time, props AS data, event_id // 100 AS chunk_offset, event_id % 100 AS msg_offset
     FROM events JOIN channels c ON c.topic = event_type AND c.user_id = events.user_id
@@ -321,7 +321,7 @@ def merge_log_time_rank(spark, d):
 
 
 def _coalesce_sql(keys: str) -> str:
-    return _MERGED + f", g AS (SELECT {keys}, row_number() OVER (ORDER BY min(first)) AS out_id FROM per GROUP BY {keys}) SELECT per.input_idx, per.channel_id, out_id FROM per JOIN g USING ({keys})"
+    return _MERGED + f", g AS (SELECT {keys}, CAST(row_number() OVER (ORDER BY min(first)) AS INTEGER) AS out_id FROM per GROUP BY {keys}) SELECT per.input_idx, per.channel_id, out_id FROM per JOIN g USING ({keys})"
 
 
 @query(_coalesce_sql("topic, channel_metadata"))
@@ -345,7 +345,7 @@ def merge_metadata_dedup(spark, d):
     return merge.merge_metadata(n, allow_duplicates=True).select("name", F.col("metadata")["k"].alias("letter"))
 
 
-@query("SELECT n.n_nationkey AS id, d.out_id FROM nation n JOIN (SELECT n_regionkey, row_number() OVER (ORDER BY min(n_nationkey)) AS out_id FROM nation GROUP BY n_regionkey) d USING (n_regionkey)", prelude=False)
+@query("SELECT n.n_nationkey AS id, d.out_id FROM nation n JOIN (SELECT n_regionkey, CAST(row_number() OVER (ORDER BY min(n_nationkey)) AS INTEGER) AS out_id FROM nation GROUP BY n_regionkey) d USING (n_regionkey)", prelude=False)
 def merge_schema_ids(spark, d):
     n = A.read(spark, d, "nation").select(F.lit(0).alias("input_idx"), F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("name"), F.lit("e").alias("encoding"), F.lit("x").alias("data"))
     return merge.schema_ids(n).select("id", "out_id")

@@ -277,3 +277,49 @@ def test_stream_of_growing_files(spark, tmp_path):
     finally:
         q.stop()
     assert 0 < first < 10 and got == list(range(10))
+
+
+def test_commands(spark, folder, tmp_path, capsys):
+    from tempolog.__main__ import parser, run
+
+    e, a = Engine(spark), str(folder / "a.tlog")
+
+    def do(*args):
+        code = run(parser().parse_args(list(args)), e)
+        return code, capsys.readouterr().out
+
+    assert do("list", "channels", a) == (0, "id\tschema_id\ttopic\tmessage_encoding\tmetadata\n1\t1\texample\ta\t{\"foo\":\"bar\"}\n")
+    code, out = do("cat", a, "--start-nsecs", "3", "--end", "5", "--topics", "example")
+    assert code == 0 and [line.split()[0][-4:] for line in out.splitlines()] == ["003Z", "003Z", "004Z"]
+    assert do("filter", a, "-o", str(tmp_path / "f"), "-y", "exam.*", "--end-nsecs", "3")[0] == 0
+    assert e.messages(str(tmp_path / "f")).count() == 3
+    assert do("get", "metadata", a, "--name", "m")[1] == '{"k":"v"}\n'
+    assert do("doctor", a)[0] == 0 and do("doctor", a, "--strict-message-order")[0] == 1
+    assert "# statistics" in do("info", a)[1] and "# topics" in do("du", a)[1]
+    assert do("add", "metadata", a, "-o", str(tmp_path / "g.tlog"), "--name", "q", "--key", "x=y=z")[0] == 0
+    assert do("get", "metadata", str(tmp_path / "g.tlog"), "--name", "q")[1] == '{"x":"y=z"}\n'
+    assert do("merge", a, a, "-o", str(tmp_path / "h"), "--coalesce-channels", "force")[0] == 0
+    with pytest.raises(LogError):
+        do("cat", a, "--start-nsecs", "5", "--end-nsecs", "3")
+
+
+def test_point_clouds(spark, tmp_path):
+    from tempolog.sources import pointcloud
+
+    (tmp_path / "p.csv").write_text("t,x,y\n1,1.5,2\n1,0.5,3\n2,7,8\n")
+    got = pointcloud.messages(spark, str(tmp_path / "p.csv"), "t").orderBy("log_time").collect()
+    assert [bytes(r.data).decode() for r in got] == ['{"points":[{"x":0.5,"y":3.0},{"x":1.5,"y":2.0}]}', '{"points":[{"x":7.0,"y":8.0}]}']
+
+
+def test_sorted_release(spark, tmp_path):
+    from tempolog.streaming import live
+
+    rows = [("a", t, i) for i, t in enumerate([5, 3, 9, 1, 20])]
+    spark.createDataFrame(rows, "topic string, log_time long, sequence long").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("topic string, log_time long, sequence long").parquet(str(tmp_path / "in"))
+    q = live.sorted_release(s, 10).writeStream.format("memory").queryName("released").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        assert sorted(r.log_time for r in spark.table("released").collect()) == [1, 3, 5, 9]
+    finally:
+        q.stop()
