@@ -29,9 +29,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes what the operators of this driver have put in the shared folder; returns how many tables and folders.
+
+    Results are read from there, so call it only once they are saved elsewhere.
+    """
+    n = len(_PATHS)
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -28,6 +28,8 @@ agree; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -142,10 +144,53 @@ def midpoints(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(fp)), 65), (fp[:, None] ^ ball).ravel()
 
 
-def forest(fp: np.ndarray, ids: np.ndarray, most: int = 2) -> list[tuple[int, int]]:
-    """Links that connect what is at distance ``most`` or less: each id with the least of its piece."""
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= most
-    return _connect(near, ids)
+def forests(first: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, most: int) -> set[tuple[int, int]]:
+    """Links that connect what is at distance ``most`` or less in each group of neighbouring rows: each id with the least of its piece.
+
+    Groups of one size are compared together; few have anything near.
+    """
+    out: set[tuple[int, int]] = set()
+    for n in np.unique(size[size > 1]).tolist():
+        starts = first[size == n]
+        step = max(1, (1 << 20) // (n * n))
+        for i in range(0, len(starts), step):
+            at = starts[i : i + step, None] + np.arange(n)
+            a, b = lo[at], hi[at]
+            near = np.bitwise_count(a[:, :, None] ^ a[:, None, :]).astype(np.int16) + np.bitwise_count(b[:, :, None] ^ b[:, None, :]) <= most
+            near[:, np.arange(n), np.arange(n)] = False
+            for g in np.flatnonzero(near.any(axis=(1, 2))).tolist():
+                out.update(_connect(near[g], ids[at[g]]))
+    return out
+
+
+def _forest(df: DataFrame, most: int) -> DataFrame:
+    """``a, b``: links that connect what is near in each group of ``key`` (of bounded size); columns ``key, lo, hi, id``.
+
+    Rows come sorted by key, so a task holds one batch and the group that goes on in the next.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64)] * 4
+
+        def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
+            key, lo, hi, ids = cols
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            out = forests(first, np.diff(np.append(first, len(key))), lo.view(np.uint64), hi.view(np.uint64), ids, most)
+            a, b = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            cols = [np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for r, k in zip(rest, ("key", "lo", "hi", "id"))]
+            if not len(cols[0]):
+                continue
+            end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
+            rest = [c[end:] for c in cols]
+            if end:
+                yield edges([c[:end] for c in cols])
+        if len(rest[0]):
+            yield edges(rest)
+
+    return df.select("key", "lo", "hi", "id").repartition("key").sortWithinPartitions("key").mapInArrow(walk, "a long, b long")
 
 
 def _connect(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -168,16 +213,8 @@ def links(nodes: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(keyed.join(sizes, "key"), "simhash-keys")
 
-    def pair(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = set()
-        for members in batch.column("members"):
-            fp, ids = (members.values.field(k).to_numpy(zero_copy_only=False) for k in ("fp", "id"))
-            out.update(forest(fp.view(np.uint64), ids))
-        a, b = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    small = sized.where(F.col("n") <= most_paired).groupBy("key").agg(F.collect_list(F.struct("fp", "id")).alias("members"))
-    found = map_arrow(small.select("members"), pair, "a long, b long")
+    small = sized.where(F.col("n") <= most_paired).select("key", F.col("fp").alias("lo"), F.lit(0).cast("long").alias("hi"), "id")
+    found = _forest(small, 2)
     large = sized.where(F.col("n") > most_paired).select("fp", "id").distinct()
     if large.head(1):
         met = _explode(large, midpoints, "mid")
@@ -223,8 +260,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: Bits of 128 at which near copies link.  Texts whose five-word shingles are 0.8 alike differ by about 6 bits, at most
 #: by about 14 in nine cases of ten; unrelated texts of one language by more than 30 (figures in the README).
 NEAR_BITS = 14
-#: Leaders that each member of a large key group is compared with first.
-LEADERS = 8
 #: Of the six segments of 21 or 22 bits, those whose codeword indices make a key together.
 _PAIRS = ((0, 1), (2, 5), (3, 4))
 
@@ -259,31 +294,12 @@ def _wide_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _wide_forest(df: DataFrame, by: list[str], most: int) -> DataFrame:
-    """``a, b``: links that connect what is near in each group of ``by`` (of bounded size)."""
-
-    def pair(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = set()
-        for members in batch.column("members"):
-            lo, hi, ids = (members.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "id"))
-            lo, hi = lo.view(np.uint64), hi.view(np.uint64)
-            near = np.bitwise_count(lo[:, None] ^ lo[None, :]).astype(np.int16) + np.bitwise_count(hi[:, None] ^ hi[None, :]) <= most
-            np.fill_diagonal(near, False)
-            if near.any():
-                out.update(_connect(near, ids))
-        a, b = zip(*out) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    groups = df.groupBy(*by).agg(F.collect_list(F.struct("lo", "hi", "id")).alias("members"))
-    return map_arrow(groups.select("members"), pair, "a long, b long")
-
-
 def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_PAIRED) -> DataFrame:
     """``a, b`` (ids, a > b) that connect the fingerprints of ``nodes`` (``lo, hi`` distinct, ``id``) that share a key and are near.
 
-    Key groups up to ``most_paired`` are compared in one piece.  Members of larger ones are first compared with a few
-    leaders, which costs a row each and joins what is one large group of copies; only groups that still have several
-    components are then compared block against block, in pieces of bounded size, so that no link is lost.
+    Key groups up to ``most_paired`` are compared in one piece.  Members of larger ones are first compared with their
+    least one only, which joins what is one large group of copies; then those that are not in its component meet all
+    members, so that no link is lost and a large group is never paired with itself.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -293,24 +309,25 @@ def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_
         return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in ("lo", "hi", "id"))], ["key", "lo", "hi", "id"])
 
     keyed = map_arrow(nodes.select("lo", "hi", "id"), each, "key long, lo long, hi long, id long")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = written(keyed.join(sizes, "key"), "near-keys")
-    found = _wide_forest(sized.where(F.col("n") <= most_paired), ["key"], most)
-    large = sized.where(F.col("n") > most_paired)
-    if not large.head(1):
-        return found.distinct()
-    leaders = large.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("s")).agg(F.min(F.struct("id", "lo", "hi")).alias("l")).select("key", "l")
-    to_leader = large.alias("m").join(leaders.alias("k"), "key").where(F.col("m.id") != F.col("l.id"))
-    near = (F.bit_count(F.col("lo").bitwiseXOR(F.col("l.lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("l.hi")))) <= most
-    star = to_leader.where(near).select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b")).distinct()
-    found = written(found.unionByName(star).distinct(), "near-links")
-    roots = components(found)
-    placed = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", F.ceil(F.col("n") / most_paired).cast("int").alias("k"))
-    # One fingerprint of each component and block would not do: links are between fingerprints.  Each block meets each other once.
-    blocks = placed.join(mixed, "key").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    blocks = blocks.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "lo", "hi", "id")
-    return found.unionByName(_wide_forest(blocks, ["key", "i", "j"], most)).distinct()
+    # Keys with more members than are compared in one piece: few, and a table of their own.
+    hot = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_paired).select("key"), "near-hot")
+    if not hot.head(1):
+        return _forest(keyed, most).distinct()
+    large = written(keyed.join(hot, "key", "left_semi"), "near-large")
+    leaders = large.groupBy("key").agg(F.min(F.struct("id", "lo", "hi")).alias("l")).select("key", F.col("l.id").alias("l_id"), F.col("l.lo").alias("l_lo"), F.col("l.hi").alias("l_hi"))
+
+    def near(other: str):
+        return (F.bit_count(F.col("lo").bitwiseXOR(F.col(f"{other}_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col(f"{other}_hi")))) <= most
+
+    star = large.join(leaders, "key").where(near("l") & (F.col("id") > F.col("l_id"))).select(F.col("id").alias("a"), F.col("l_id").alias("b"))
+    found = written(_forest(keyed.join(hot, "key", "left_anti"), most).unionByName(star).distinct(), "near-links")
+    roots = written(components(found), "near-roots")
+    # What is not of the leader's component yet meets every member; what is has no need to meet its own.
+    rooted = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    l_root = leaders.select("key", "l_id").join(roots, F.col("l_id") == F.col("id"), "left").select("key", F.coalesce("root", "l_id").alias("l_root"))
+    minor = rooted.join(l_root, "key").where("root <> l_root").select("key", F.col("id").alias("m_id"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi"))
+    cross = large.join(minor, "key").where(near("m") & (F.col("id") != F.col("m_id"))).select(F.greatest("id", "m_id").alias("a"), F.least("id", "m_id").alias("b"))
+    return found.unionByName(cross.distinct()).distinct()
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = NEAR_BITS, most_paired: int = MOST_PAIRED) -> DataFrame:

@@ -452,3 +452,11 @@ def test_components(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     same(QUERIES[name](spark, SMALL).toPandas(), connect(SMALL).execute(ORACLE_SQL[name]).df())
+
+
+def test_zz_forget(spark):
+    """Last: takes away all intermediate tables."""
+    from tempolog.llm.common import forget, written
+
+    df = written(spark.range(3), "x")
+    assert df.count() == 3 and forget(spark) >= 1 and forget(spark) == 0
