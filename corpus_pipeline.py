@@ -29,7 +29,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each group of near copies the document with the smallest id stays, once; rows without an id stay."""
     found = written(simhash.near_copies(docs), "near-components")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # The list grows with the documents: the same join at every size, never a broadcast that fits only small inputs.
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
         # Repeated rows of one id: the first of them in order of the other columns stays.
         named, rest = kept.where("doc_id is not null"), kept.where("doc_id is null")
