@@ -16,7 +16,7 @@ from tempolog.llm.common import table, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: Names that no input has.
-SCORE, COPIES = "__pipeline_score__", "__pipeline_copies__"
+SCORE, COPIES, TEXT = "__pipeline_score__", "__pipeline_copies__", "__pipeline_text__"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +26,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, once; rows without an id stay."""
+    """Of each group of near copies one row stays, of those with the smallest id; rows without an id stay.
+
+    Rows are told apart by id and text: rows of one id whose texts are not near copies all stay.
+    """
     found = written(simhash.near_copies(docs), "near-components")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id or text_hash <> component_hash").select("doc_id", F.col("text_hash").alias(TEXT)).distinct()
     # The list grows with the documents: the same join at every size, never a broadcast that fits only small inputs.
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        # Repeated rows of one id: the first of them in order of the other columns stays.
+    kept = docs.withColumn(TEXT, F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", TEXT], "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").head(1):
+        # Repeated rows of one id and text: the first of them in order of the other columns stays.
         named, rest = kept.where("doc_id is not null"), kept.where("doc_id is null")
         others = [c for c in docs.columns if c != "doc_id"]
-        named = named.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_r")).select("doc_id", "_r.*").select(docs.columns)
-        kept = named.unionByName(rest)
-    return kept
+        named = named.groupBy("doc_id", TEXT).agg(F.min(F.struct(*others)).alias("_r")).select("doc_id", "_r.*").select(docs.columns)
+        kept = named.unionByName(rest.select(docs.columns))
+    return kept.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

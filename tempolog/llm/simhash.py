@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts, written
+from .common import bound_batches, map_arrow, texts, written
 
 BITS = 64
 #: Fingerprints of one key group that are compared in pairs; more than these meet at midpoints instead.
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 # ---- near copies: wide fingerprints of word sets
 
-#: Bits of 128 at which near copies link.  Texts whose five-word shingles are 0.8 alike differ by about 6 bits, at most
+#: Bits of 128 at which fingerprints link, so that their texts are compared.  Texts whose five-word shingles are 0.8 alike differ by about 6 bits, at most
 #: by about 14 in nine cases of ten; unrelated texts of one language by more than 30 (figures in the README).
 NEAR_BITS = 14
 #: Of the six segments of 21 or 22 bits, those whose codeword indices make a key together.
@@ -330,16 +330,145 @@ def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_
     return found.unionByName(cross.distinct()).distinct()
 
 
+# ---- near copies: links verified by five-word shingles
+
+#: Texts are near copies when their sets of ``SHINGLE``-word shingles have this Jaccard similarity or more (numerator, denominator).
+SIMILAR = (4, 5)
+SHINGLE = 5
+
+
+def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
+    """The sorted 64-bit hashes of the distinct shingles."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(s) for s in set(shingles(text, n))), np.uint64))
+
+
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are near copies of which, by exact counts of what they share."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    shared = np.zeros((n, n), np.int64)
+    if size.sum():
+        _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(n), size)
+        often = times[at] > 1  # what one set alone has is shared by none
+        number = (np.cumsum(times > 1) - 1)[at[often]]
+        owner = owner[often]
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        step = max(1, (1 << 22) // n)
+        for lo in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+            i, j = np.searchsorted(number, (lo, lo + step))
+            has = np.zeros((n, min(step, int(number[-1]) + 1 - lo)), np.float32)
+            has[owner[i:j], number[i:j] - lo] = 1
+            shared += (has @ has.T).astype(np.int64)
+    up, down = SIMILAR
+    both = size[:, None] + size[None, :]
+    near = (up + down) * shared >= up * both  # shared / (both - shared) >= up / down
+    near[np.diag_indices(n)] = False
+    return near
+
+
+def _verified(df: DataFrame) -> DataFrame:
+    """``a, b`` (nodes, a > b): a spanning forest of the near copies in each ``blob`` (of bounded size); columns ``blob, node, t``."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets = None, {}
+
+        def edges() -> pa.RecordBatch:
+            out = _connect(similar(list(sets.values())), np.array(list(sets), np.int64)) if len(sets) > 1 else []
+            a, b = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for blob, node, t in zip(batch.column("blob").to_pylist(), batch.column("node").to_pylist(), texts(batch, "t")):
+                if blob != now:
+                    if len(sets) > 1:
+                        yield edges()
+                    now, sets = blob, {}
+                if node not in sets:
+                    sets[node] = shingle_set(t)
+        if len(sets) > 1:
+            yield edges()
+
+    bound_batches(df.sparkSession)
+    return df.select("blob", "node", "t").repartition("blob").sortWithinPartitions("blob").mapInArrow(walk, "a long, b long")
+
+
+def _across(large: DataFrame, inside: DataFrame) -> DataFrame:
+    """``a, b``: the near copies in large blobs that are not yet connected; ``large``: ``blob, node, t``, ``inside``: ``id, root``.
+
+    Two sets at similarity s share one of their rarest 1 - s parts, in any one order of all shingles: here by how many
+    texts of the blob have them.  What the blob's main piece has is connected, so only pairs with a text outside it meet.
+    """
+    up, down = SIMILAR
+
+    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t).view(np.int64) for t in texts(batch, "t")]
+        empty = np.zeros(1, np.int64)  # texts without a word are near copies of each other
+        return pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("node"), pa.array([s if len(s) else empty for s in sets], pa.list_(pa.int64()))], ["blob", "node", "s"])
+
+    sets = written(map_arrow(large, hashes, "blob long, node long, s array<long>"), "near-sets")
+    rooted = sets.select("blob", "node").join(inside, F.col("node") == F.col("id"), "left").select("blob", "node", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "near-rooted")
+    most = rooted.groupBy("blob", "root").agg(F.count("*").alias("n")).groupBy("blob").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    outer = rooted.join(most, "blob").withColumn("outer", F.col("root") != F.col("main")).select("node", "root", "outer")
+
+    each = sets.select("blob", "node", F.size("s").alias("size"), F.explode("s").alias("x"))
+    times = each.groupBy("blob", "x").agg(F.count("*").alias("n"))
+    rare = each.join(times, ["blob", "x"]).groupBy("blob", "node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("by"))
+    keep = (F.col("size") - F.ceil(F.col("size") * up / down) + 1).cast("int")
+    keys = rare.withColumn("key", F.explode(F.slice("by", F.lit(1), keep))).where("key.n > 1").select("blob", "node", "size", F.col("key.x").alias("x"))
+    keys = written(keys.join(outer, "node"), "near-prefixes")
+    other = keys.select("blob", "x", F.col("node").alias("m"), F.col("size").alias("m_size"), F.col("root").alias("m_root"), F.col("outer").alias("m_outer"))
+    sizes_near = (F.col("size") * down >= F.col("m_size") * up) & (F.col("m_size") * down >= F.col("size") * up)
+    once = ~F.col("m_outer") | (F.col("node") > F.col("m"))
+    pairs = keys.where("outer").join(other, ["blob", "x"]).where((F.col("root") != F.col("m_root")) & once & sizes_near).select("node", "m").distinct()
+    met = pairs.join(sets.select("node", "s"), "node").join(sets.select(F.col("node").alias("m"), F.col("s").alias("m_s")), "m")
+    shared = F.size(F.array_intersect("s", "m_s"))
+    near = met.where(shared * (up + down) >= (F.size("s") + F.size("m_s")) * up)
+    return near.select(F.greatest("node", "m").alias("a"), F.least("node", "m").alias("b"))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = NEAR_BITS, most_paired: int = MOST_PAIRED) -> DataFrame:
-    """One row per document: ``doc_id, component_id`` (the least id reachable over near copies)."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    """One row per document: ``doc_id, text_hash, component_id, component_hash``.
+
+    The last two name the document with the least id (of that, the least hash) reachable over near copies, which are
+    texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  ``text_hash`` tells rows of one id apart.
+
+    Fingerprints only say what to compare: texts whose fingerprints are reachable from each other make a blob, and every
+    pair in a blob that is not connected yet is compared by exact shingle sets.  Blobs up to ``most_paired`` texts
+    are compared in one piece; larger ones in pieces of about that size, then what these leave apart by rare shingles.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = np.frombuffer(b"".join([wide_fingerprint(t) for t in texts(batch, "t")]), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "lo", "hi"])
-
-    docs = written(map_arrow(docs, each, "doc_id long, lo long, hi long"), "near")
-    nodes = written(docs.where("doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("id")), "near-nodes")
-    roots = components(wide_links(nodes, most, most_paired))
-    nodes = nodes.join(roots, "id", "left").select("lo", "hi", F.coalesce("root", "id").alias("component_id"))
-    return docs.join(nodes, ["lo", "hi"], "left").select("doc_id", "component_id")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "text_hash", "lo", "hi"])
+
+    rows = written(map_arrow(docs, each, "doc_id long, text_hash long, lo long, hi long"), "near")
+    # A node is a text, with the least id that has it; numbers of their own tell nodes apart where ids repeat.
+    nodes = rows.where("doc_id is not null").groupBy("lo", "hi", "text_hash").agg(F.min("doc_id").alias("least_id"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    prints = written(nodes.groupBy("lo", "hi").agg(F.min("node").alias("id")), "near-prints")
+    roots = components(wide_links(prints, most, most_paired))
+    blobs = prints.join(roots, "id", "left").select("lo", "hi", F.coalesce("root", "id").alias("blob"))
+    members = nodes.join(blobs, ["lo", "hi"]).select("blob", "node", "least_id", "text_hash")
+    sizes = members.groupBy("blob").agg(F.count("*").alias("n")).where("n > 1")
+    members = members.join(sizes, "blob").select("blob", "n", "node", F.col("least_id").alias("doc_id"), "text_hash")
+    # Repeated rows give a node more than once: the same text each time.
+    compared = written(docs.join(members.hint("merge"), ["doc_id", "text_hash"]).select("blob", "n", "node", "t"), "near-texts")
+    found = _verified(compared.where(F.col("n") <= most_paired))
+    large = compared.where(F.col("n") > most_paired).dropDuplicates(["node"])
+    if large.head(1):
+        parts = F.ceil(F.col("n") * 2 / most_paired)
+        inside = _verified(large.withColumn("blob", F.xxhash64("blob", F.pmod(F.xxhash64("node"), parts))))
+        # All meet a second time, with other neighbours: that joins the pieces.
+        again = _verified(large.withColumn("blob", F.xxhash64("blob", F.lit(1), F.pmod(F.xxhash64("node", F.lit(1)), parts))))
+        inside = written(inside.unionByName(again).distinct(), "near-inside")
+        found = found.unionByName(inside).unionByName(_across(large.select("blob", "node", "t"), written(components(inside), "near-pieces")))
+    roots = components(found)
+    named = nodes.join(roots, F.col("node") == F.col("id"), "left").select("lo", "hi", "text_hash", "least_id", F.coalesce("root", "node").alias("root"))
+    named = written(named, "near-named")
+    first = named.groupBy("root").agg(F.min(F.struct("least_id", "text_hash")).alias("f"))
+    named = named.join(first, "root").select("lo", "hi", "text_hash", F.col("f.least_id").alias("component_id"), F.col("f.text_hash").alias("component_hash"))
+    return rows.join(named, ["lo", "hi", "text_hash"], "left").select("doc_id", "text_hash", "component_id", "component_hash")
