@@ -49,9 +49,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("doc_id is not null and copies > 0").groupBy("doc_id").agg(F.max("copies").alias(COPIES))
-    taken = docs.join(copies, "doc_id")
+    """Each document as often as the mix takes it: not at all, once or twice; rows of one id with differing texts each for themselves."""
+    docs_ = docs.withColumn(TEXT, F.xxhash64("text"))
+    copies = mixing.mix(docs_, key=TEXT).where("doc_id is not null and copies > 0").groupBy("doc_id", F.col("key").alias(TEXT)).agg(F.max("copies").alias(COPIES))
+    taken = docs_.join(copies, ["doc_id", TEXT])
     return taken.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))).select(docs.columns)
 
 

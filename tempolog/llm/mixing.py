@@ -113,14 +113,15 @@ def _seed(*parts: int) -> np.random.Generator:
     return np.random.default_rng([p & 0xFFFFFFFF for p in parts])
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", key: str | None = None) -> DataFrame:
     """``doc_id, source, size``: runs of other than space and \\x09-\\x0d."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("t"), *([F.col(key).cast("long").alias("key")] if key else []))
+    more = ["key"] if key else []
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(t.split()) for t in texts(batch, "t")], pa.int64())], ["doc_id", "source", "size"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(t.split()) for t in texts(batch, "t")], pa.int64()), *(batch.column(c) for c in more)], ["doc_id", "source", "size", *more])
 
-    return map_arrow(docs, each, "doc_id long, source string, size long")
+    return map_arrow(docs, each, "doc_id long, source string, size long" + (", key long" if key else ""))
 
 
 def _flier(seed: int, level: int, last: bool):
@@ -134,10 +135,10 @@ def _flier(seed: int, level: int, last: bool):
     return fly
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: int = 1, block: int = BLOCK) -> DataFrame:
-    """One row per document: ``doc_id, size, source_size, target, copies, taken``."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: int = 1, block: int = BLOCK, key: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id, size, source_size, target, copies, taken``; with ``key``, a long column that tells rows of one id apart, also ``key``."""
     spark = docs.sparkSession
-    rows = written(sized(docs, doc_id, text, source).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    rows = written(sized(docs, doc_id, text, source, key).withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     # One row a source: few by nature.  A repeated id's rows are told apart by their text's size alone, so that reruns agree.
     sums = [(r.source, r.size, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
     sums.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -169,4 +170,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         left = flown.where("p not in (0, 1)").drop("docs").join(F.broadcast(fewer), "k").select("k", "row", "doc_id", "size", "p", "docs")
         level += 1
     copies = F.col("whole") + F.coalesce("drawn", F.lit(0))
-    return all_.join(decided, "row", "left").select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return all_.join(decided, "row", "left").select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["key"] if key else []))

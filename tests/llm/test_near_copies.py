@@ -1,11 +1,12 @@
 """The near-duplicate stage against brute-force similarity of five-word shingles."""
 
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from tempolog.llm import simhash
+from tempolog.llm import mixing, simhash
 from tempolog.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,3 +72,25 @@ def test_same_words_in_another_order_stay(spark):
     words = [f"word{i}" for i in range(200)]
     docs = spark.createDataFrame([(1, " ".join(words), "en", "a", 1), (2, " ".join(reversed(words)), "en", "a", 1)], DOCS)
     assert corpus_pipeline.keep_one_of_near_copies(spark, docs, "").count() == 2
+
+
+def text_of(rng, n):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(5)
+    x, y, z = (text_of(rng, 100) for _ in range(3))
+    docs = spark.createDataFrame([(5, x, "en", "a", 1), (5, y, "en", "a", 1), (2, y, "en", "a", 1), (6, x, "en", "a", 1), (7, x, "en", "a", 1), (7, z, "en", "a", 1)], DOCS)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, x), (2, y), (7, z)])
+
+
+def test_mix_decides_by_row(spark):
+    """Every row has an id that another text has too: each is taken as often as the mix says."""
+    rng = random.Random(6)
+    rows = [(i // 2, text_of(rng, 5 + 3 * i), "en", "abc"[i % 3], 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = Counter((r.doc_id, len(r.text.split())) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    want = {(r.doc_id, r.size): r.copies for r in mixing.mix(docs).collect() if r.copies}
+    assert mixed == want and len(want) < 200
