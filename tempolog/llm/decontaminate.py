@@ -117,11 +117,12 @@ class Block:
         return sorted(out)
 
 
-def blocks(items: DataFrame, item_id: str, text: str, rate: float, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The stated test items, normalised, in blocks of bounded size."""
+def blocks(items: DataFrame, item_id: str, text: str, rate: float, block_chars: int, unnamed: bool = False) -> list[list[tuple[int, str]]]:
+    """The stated test items, normalised, in blocks of bounded size; with ``unnamed`` those without an id too, all as item 0."""
     out: list[list[tuple[int, str]]] = []
     room = 0
-    for r in items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
+    items = items.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
+    for r in (items.withColumn("i", F.lit(0)) if unnamed else items.where("i is not null")).orderBy("i", "t").toLocalIterator():
         if t := normalise(r.t):
             if room < len(t):
                 out.append([])
@@ -135,6 +136,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """One row for each document and test item that it holds: ``doc_id, item_id, errors, start, end``.
 
     ``start`` and ``end`` are characters of the normalised text; ``errors`` is the least edit distance.
+    Items without an id can't be named and give no row.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -147,8 +149,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with all their columns, in one pass a block: nothing is shuffled."""
-    for items_ in blocks(items, item_id, item_text, rate, block_chars):
+    """The rows of ``docs`` that hold no test item, items without an id included, with all their columns, in one pass a block: nothing is shuffled."""
+    for items_ in blocks(items, item_id, item_text, rate, block_chars, unnamed=True):
         docs = map_arrow(docs, _Filter(items_, rate, text), docs.schema)
     return docs
 
