@@ -9,7 +9,7 @@ for; the block's count says how many belong to it.
 A file (all numbers little-endian, unsigned)::
 
     "TS8B" | version u32 | blocks u64 | documents u64 | ids u64
-    documents: doc_id i64, n_ids u64                 (16 bytes each)
+    documents: doc_id i64, n_ids u64                 (16 bytes each; the top bit of n_ids marks a null id)
     blocks:    offset u64 of the first word, ids u64 (16 bytes each, offset from the first block)
     words:     u64 each, block after block
 
@@ -28,7 +28,8 @@ import numpy as np
 SELECTORS = ((240, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 BLOCK_IDS = 1 << 14
-MAGIC, VERSION = b"TS8B", 1
+MAGIC, VERSION = b"TS8B", 2
+_NO_ID = 1 << 63
 _COUNT = np.array([n for n, _ in SELECTORS] + [1])
 _BITS = np.array([b for _, b in SELECTORS] + [64])
 
@@ -121,10 +122,11 @@ class Writer:
 
     @property
     def bytes(self) -> int:
-        return self.at
+        """Of the file, nearly: words, what is not packed yet, and the table of documents."""
+        return self.at + 4 * self.held + 16 * len(self.docs)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.docs.append((0, len(ids) - _NO_ID) if doc_id is None else (doc_id, len(ids)))
         self.ids += len(ids)
         self.rest.append(ids)
         self.held += len(ids)
@@ -151,7 +153,7 @@ class Writer:
             out.write(w)
 
 
-def read(file: BinaryIO) -> Iterator[tuple[int, np.ndarray]]:
+def read(file: BinaryIO) -> Iterator[tuple[int | None, np.ndarray]]:
     """``(doc_id, ids)`` of every document in a file, a few blocks in memory at a time."""
     head = file.read(32)
     if head[:4] != MAGIC or int.from_bytes(head[4:8], "little") != VERSION:
@@ -162,6 +164,8 @@ def read(file: BinaryIO) -> Iterator[tuple[int, np.ndarray]]:
     offsets = [o for o, _ in blocks]
     have, rest, k = 0, [], 0
     for doc_id, n in docs:
+        if n < 0:
+            doc_id, n = None, n + _NO_ID
         while have < n:
             size = offsets[k + 1] - offsets[k] if k + 1 < n_blocks else None
             ids = decode(np.frombuffer(file.read() if size is None else file.read(size), "<u8"), blocks[k][1])

@@ -1,25 +1,24 @@
 """Token ids of a corpus, in binary files in ascending order of document.
 
-Rows are range-partitioned and sorted by id (the sampling reads ids only), and
-each task encodes its texts and writes Simple-8b files of about ``FILE_BYTES``
-(:mod:`.simple8b`) to the shared folder.  A file is written under a name of its
-attempt and then renamed, so a task that is run again leaves whole files only,
-and the manifest names those of the attempt that counted.
-
-Words are encoded by the tokenizers library once and looked up afterwards: the
-tokenizer's own splitting never crosses white space, so a text's ids are its
-words' ids one after another.  The table of known words is bounded.  A text
-with control characters on whose class the two libraries differ is encoded whole.
-
-Edge cases: a null or empty text has the end id alone; rows with a null id are
-left out, as they have no place in the order; equal ids keep the order of the
-tie-break column, if given, else any; other columns are ignored; an empty table
-gives no file.
+Rows are range-partitioned and sorted by id (the sampling reads ids and hashes
+only), and each task encodes its texts and writes Simple-8b files of about
+``FILE_BYTES`` (:mod:`.simple8b`) to the shared folder.  A file is written under
+a name of its attempt and then renamed, so a task that is run again leaves whole
+files only, and the manifest names those of the attempt that counted.
+
+The tokenizers library encodes whole texts, some at a time.  Only a text of
+more than ``PIECE_CHARS`` is handed to it in pieces, cut before spaces, and only
+where the tokenizer is found to cut there itself (:meth:`Encoder.cuts_at_spaces`).
+
+Edge cases: a null or empty text has the end id alone; ids are integers (cast
+to bigint), null ones come first and are marked in the files; rows of one id
+come in the order of their texts' hash, so that reruns agree, and equal rows
+are alike; other columns are ignored; an empty table gives no file.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,14 +35,8 @@ from .common import bound_batches, shared_path
 
 END_ID = 1
 FILE_BYTES = 8 << 20
-#: Words kept with their ids (about 200 bytes each); beyond, the table starts anew.
-KNOWN_WORDS = 600_000
-#: Two marks in a row are one piece for the tokenizer; other than Latin-1, and some separators, are split and lower-cased its own way.
-_RUN = re.compile(r"[^\w\s][^\w\s]")
-_ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-\xff]")
-#: Between a letter and a mark that begins no contraction.
-_MARK = re.compile(r"(?<=[a-zªµºß-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
-_LETTERS = re.compile("[a-zªµºß-öø-ÿ]+")
+#: Characters handed to the library at once, about; longer texts are cut where that is exact.
+PIECE_CHARS = 1 << 20
 
 
 class Encoder:
@@ -58,74 +51,64 @@ class Encoder:
         return cls._made[path]
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        # Words of plain letters, lower-cased, need no normaliser and no splitting but at spaces.
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer = normalizers.Sequence([])
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.full.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        #: Special tokens count as such where a text spells them.
-        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunks(self, text: str) -> list[str] | None:
-        """The text lower-cased and cut at spaces and before lone stops and commas: the tokenizer cuts at all of these.
-
-        None where it would cut or lower-case otherwise.
-        """
-        if _ODD.search(text) or any(s in text for s in self.added):
-            return None
-        text = text.lower()
-        if any(s in text for s in self.added):
-            return None
-        return _MARK.sub(" ", text).split() if _RUN.search(text) else text.replace(".", " .").replace(",", " ,").split()
-
-    def _learn(self, new: list[str]) -> None:
-        known, is_plain = self.known, _LETTERS.fullmatch
-        plain = []
-        for w in new:
-            if is_plain(w):
-                plain.append(w)
-            else:
-                known[w] = self.whole(w)
-        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        for group, got in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            ends = (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
-            assert len(ends) == len(group)
-            raw = ids.tobytes()
-            for w, at, end in zip(group, [0, *ends], ends):
-                known[w] = raw[at:end]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the words that are new in any of them are learned together."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        chunks = [self._chunks(t) for t in texts]
-        seen: set[str] = set()
-        for c in chunks:
-            if c:
-                seen.update(c)
-        self._learn(sorted(seen.difference(self.known)))
-        get = self.known.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
+        self._cuts: bool | None = None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @property
+    def cuts_at_spaces(self) -> bool:
+        """Whether this tokenizer takes what stands before and after a space alone: its own pieces never hold a space, nor do its added tokens."""
+        if self._cuts is None:
+            probe = "ab  cd 's x_,y 12 3.5 É́ ́ 日本 語。 ¿ \n \t\u2003z  "
+            pre = self.full.pre_tokenizer
+            pieces = [w for w, _ in pre.pre_tokenize_str(probe)] if pre else [probe]
+            apart = [i for i in range(1, len(probe)) if probe[i] == " " and self._ids([probe])[0].tolist() != np.concatenate(self._ids([probe[:i], probe[i:]])).tolist()]
+            spaced = any(" " in w or "\u0120" in w or "\u2581" in w for w in pieces)  # a space as byte-level and sentence-piece tokenizers write it
+            self._cuts = not spaced and not apart and not any(" " in t.content for t in self.full.get_added_tokens_decoder().values())
+        return self._cuts
+
+    def _pieces(self, text: str) -> list[str]:
+        out = []
+        at = 0
+        while len(text) - at > PIECE_CHARS and self.cuts_at_spaces:
+            cut = text.rfind(" ", at + 1, at + PIECE_CHARS)
+            if cut < 0 and (cut := text.find(" ", at + PIECE_CHARS)) < 0:
+                break
+            out.append(text[at:cut])
+            at = cut
+        return [*out, text[at:]]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; about ``PIECE_CHARS`` characters go to the library at a time."""
+        held: list[str] = []
+        size = 0
+        for t in texts:
+            if len(t) > PIECE_CHARS:
+                yield from self._ids(held)
+                held, size = [], 0
+                yield np.concatenate([self._ids([p])[0] for p in self._pieces(t)])
+                continue
+            held.append(t)
+            size += len(t)
+            if size > PIECE_CHARS:
+                yield from self._ids(held)
+                held, size = [], 0
+        yield from self._ids(held)
+
+
+_MANIFEST = "task long, n long, path string, docs long, ids long"
 
 
 def _write_task(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, end_id: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
     fs, root = pafs.FileSystem.from_uri(path)
     task = TaskContext.get().partitionId()
     encoder = Encoder.of(tokenizer)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
     made: list[tuple[int, int, str, int, int]] = []
     out = None
 
@@ -137,36 +120,35 @@ def _write_task(batches: Iterator[pa.RecordBatch], path: str, tokenizer: str, en
         made.append((task, len(made), f"{path}/{name}", len(out.docs), out.ids))
 
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        texts = [t or "" for t in batch.column("t").to_pylist()]
-        for at in range(0, len(texts), 256):
-            for doc_id, raw in zip(ids[at : at + 256], encoder.encode(texts[at : at + 256])):
-                out = out or simple8b.Writer()
-                out.add(doc_id, np.frombuffer(raw + end, "<u4"))
-                if out.bytes >= file_bytes:
-                    close()
-                    out = None
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("t").to_pylist()])):
+            out = out or simple8b.Writer()
+            out.add(doc_id, np.concatenate([ids, end]))
+            if out.bytes >= file_bytes:
+                close()
+                out = None
     if out:
         close()
     if made:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], ["task", "n", "path", "docs", "ids"])
 
 
-def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, tie: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the files; returns the manifest in their order: ``task, n, path, docs, ids, start``."""
+def write(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the files; returns the manifest: ``task, n, path, docs, ids, start``, files of a task in the order of ``n``."""
     spark = docs.sparkSession
     bound_batches(spark)
     path = shared_path(spark, "tokens")
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"), *([F.col(tie).alias("tie")] if tie else []))
-    order = ["doc_id", *(["tie"] if tie else [])]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "t")
-    made = ranged.mapInArrow(lambda it: _write_task(it, path, tokenizer, end_id, file_bytes), "task long, n long, path string, docs long, ids long")
+    ranged = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "t").select("doc_id", "t")
+    made = ranged.mapInArrow(lambda it: _write_task(it, path, tokenizer, end_id, file_bytes), _MANIFEST)
     made.write.parquet(f"{path}/_manifest")  # one row a file
-    manifest = spark.read.schema("task long, n long, path string, docs long, ids long").parquet(f"{path}/_manifest")
-    before = Window.orderBy("task", "n").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest")
+    # What came before: the tasks before (one row a task), and the task's own files before.
+    tasks = manifest.groupBy("task").agg(F.sum("ids").alias("_ids"))
+    tasks = tasks.select("task", F.sum("_ids").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.sum("ids").over(Window.partitionBy("task").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    return manifest.withColumn("_own", own).join(tasks, "task").select("task", "n", "path", "docs", "ids", (F.coalesce("_before", F.lit(0)) + F.coalesce("_own", F.lit(0))).alias("start"))
 
 
 def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
