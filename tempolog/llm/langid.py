@@ -6,14 +6,16 @@ letters, predicts the bits; decoding weighs each bit's logistic loss by how
 well that bit was told apart for that language in fitting, and picks the
 nearest codeword.  Where the runner-up is nearly as near, ``ambiguous`` is set.
 
-Fitting takes at most ``train_docs`` documents that are not held out (those
-with the smallest hash of their id, evenly over the languages) and at most
-``TRAIN_BYTES`` of each; prediction covers whole texts.
+Fitting takes a bounded sample: at most ``train_docs`` rows that are not held
+out and have a language (of each language the same number, at least one: those
+with the smallest hash of id and text), and whole texts of them.  Prediction
+covers whole texts of all rows.
 
 Edge cases: null texts, and texts without a letter, are ``und`` with score 0;
-null languages teach nothing; with one language all other texts get that
-language, with none ``und``; repeated rows get equal results; other columns
-are ignored.
+rows with a null language or id teach nothing; rows of one id are rows of their
+own, each with its own text and language, and equal rows teach once; with one
+language all other texts get that language, with none ``und``; repeated rows get
+equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_arrow
+from .common import held_out, map_arrow, written
 
 BUCKETS = 1 << 12
 TRAIN_DOCS = 4000
-TRAIN_BYTES = 1 << 16
 #: Bytes hashed at once.
 _PART = 1 << 20
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -59,16 +60,27 @@ def profile(text: str) -> np.ndarray:
     return np.sqrt(out / total).astype(np.float32) if total else out.astype(np.float32)
 
 
+def _least_distance(code: np.ndarray) -> int:
+    """Of any two codewords; some rows at a time, so that memory stays bounded with very many languages."""
+    k, n = code.shape
+    least = n
+    for at in range(0, k, 1024):
+        far = (n - code[at : at + 1024] @ code.T) / 2
+        far[np.arange(len(far)), np.arange(at, at + len(far))] = n
+        least = min(least, int(far.min()))
+    return least
+
+
 def codewords(k: int) -> np.ndarray:
-    """Exhaustive codes up to five languages; beyond, the best of seeded random codes by least distance."""
+    """Exhaustive codes up to five languages; beyond, the best of seeded random codes by least distance (fewer are tried of large ones)."""
     if k <= 5:
         cols = [c for c in itertools.product((1, -1), repeat=k) if c[0] == 1 and -1 in c]
         return np.array(cols, np.float32).T.reshape(k, -1)
     rng, best, far = np.random.default_rng(11), None, -1
-    for _ in range(200):
-        code = rng.choice(np.array([-1, 1], np.float32), (k, int(np.ceil(10 * np.log2(k)))))
-        d = min(int((a != b).sum()) for a, b in itertools.combinations(code, 2))
-        if d > far:
+    bits = int(np.ceil(10 * np.log2(k)))
+    for _ in range(int(np.clip(2e9 / (k * k * bits), 1, 200))):
+        code = rng.choice(np.array([-1, 1], np.float32), (k, bits))
+        if (d := _least_distance(code)) > far:
             best, far = code, d
     return best
 
@@ -114,29 +126,29 @@ class Model:
         return self.langs[best], float(p[best]), bool(np.sort(p)[-2] > 0.8 * p[best])
 
 
+def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """``i, t, l``: the rows to learn from, ``train_docs`` at most, or one a language if these are more."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    rows = rows.where(~held_out(F.col("i")) & F.col("i").isNotNull() & F.col("l").isNotNull()).withColumn("h", F.xxhash64("i", "t"))
+    # One row a language.  Of each about twice the wanted number pass by hash; the first of these in order are taken.
+    kinds = written(rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")), "langid-kinds")
+    each = max(1, train_docs // max(1, kinds.count()))
+    limits = kinds.select("l", F.greatest(F.lit(1), F.ceil(F.least(F.lit(1.0), 2 * each / F.col("n") + 16 / F.col("n")) * (1 << 30))).alias("most"))
+    passed = rows.join(limits, "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("most")).select("l", "h").distinct()
+    first = passed.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("k") <= each).select("l", "h")
+    first = written(first, "langid-rows")  # ids of the sample only: as bounded as it is
+    return rows.join(F.broadcast(first), ["l", "h"]).groupBy("l", "h").agg(F.first("i").alias("i"), F.first("t").alias("t")).select("i", "t", "l")
+
+
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from at most ``train_docs`` documents that are not held out."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(~held_out(F.col("i")) & F.col("i").isNotNull() & F.col("l").isNotNull())
-    n = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(train_docs).collect()}
-    if not n:
-        return Model([])
-    # The same number of each language, by hash of the id: a hash limit that lets about twice as many pass, then the first of them.
-    each_ = max(1, train_docs // len(n))
-    limits = spark.createDataFrame([(kind, int(min(1.0, 2 * each_ / n[kind] + 1e-4) * 1_000_000)) for kind in n], "l string, most int")
-    passed = rows.select("i", "l").join(F.broadcast(limits), "l").where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < F.col("most"))
-    picked: dict[str, list[int]] = {}
-    for r in passed.select("i", "l", F.xxhash64("i").alias("h")).dropDuplicates(["i"]).orderBy("h", "i").toLocalIterator():
-        if len(picked.setdefault(r.l, [])) < each_:
-            picked[r.l].append(r.i)
-    chosen = spark.createDataFrame([(i, kind) for kind, ids in picked.items() for i in ids], "i long, l string")
-    sample = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")  # train_docs rows at most
+    """Learn from :func:`training_rows`."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [profile(t[:TRAIN_BYTES]).astype(np.float16).tobytes() if has_letter(t) else None for t in batch.column("t").to_pylist()]
+        x = [profile(t).astype(np.float16).tobytes() if has_letter(t) else None for t in batch.column("t").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("i"), batch.column("l"), pa.array(x, pa.binary())], ["i", "l", "x"])
 
-    got = sorted((r for r in map_arrow(sample, each, "i long, l string, x binary").collect() if r.x), key=lambda r: r.i)
+    got = map_arrow(training_rows(docs, doc_id, text, lang, train_docs), each, "i long, l string, x binary").collect()
+    got = sorted((r for r in got if r.x), key=lambda r: (r.i, r.l, r.x))
     langs = sorted({r.l for r in got})
     model = Model(langs)
     return model.fit(np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32), np.array([langs.index(r.l) for r in got])) if langs else model
