@@ -2,20 +2,22 @@
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words.  Every passage of
 every document is encoded from the frequencies of neighbouring character
-classes and a few figures on its words; a small network embeds it, learned
+classes, hashed words, and a few figures on its words; a small network embeds it, learned
 gated attention (tanh times sigmoid) weighs it within its document, and the
 weighted sum is scored.  Only document labels are learned from.
 
-The model is fitted on the driver with numpy on at most ``train_docs`` labelled
-documents (those with the smallest hash of their id), of at most
-``TRAIN_PASSAGES`` evenly spaced passages each: both are bounds of the fitting
-alone.  Scores cover all passages of whole texts.
+The model is fitted on the driver with numpy on a bounded sample: at most
+``train_docs`` labelled documents (those with the smallest hash of their id),
+of ``train_bytes`` of text together; a document that would go beyond is left
+out as a whole.  All passages of whole texts are learned from, as are scored.
 
 Edge cases: a null or empty text is one passage of zeros and gets a score;
 labels that are null, held out, or of unknown documents are not learned from;
-where labels of one document differ the largest counts; with no label, or one
-class only, the score is the smoothed share of label 1; other columns are
-ignored, and repeated rows get equal scores.  A text of more than
+where labels of one document differ the largest counts; where an id has several
+texts the one with the least hash is learned from; ids are integers (cast to
+bigint) in fitting, anything in scoring; with no label, or one class only, the
+score is the smoothed share of label 1; a column with the name of the score is
+replaced, others stay; repeated rows get equal scores.  A text of more than
 ``SEGMENT_BYTES`` is cut into segments at spaces, and passages start anew there.
 """
 
@@ -32,7 +34,7 @@ from .common import held_out, map_arrow, texts
 
 PASSAGE_WORDS = 64
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 32
+TRAIN_BYTES = 24 << 20
 SEGMENT_BYTES = 1 << 20
 THRESHOLD = 0.3
 
@@ -51,7 +53,9 @@ _CLASS[ord("|")] = 8
 _CLASS[ord("!")] = 9
 _CLASS[[*b"'\"-:;?()"]] = 10
 _WORD_FIGURES = 8
-FEATURES = _CLASSES**2 + _WORD_FIGURES
+#: Buckets of hashed words.
+_WORDS = 64
+FEATURES = _CLASSES**2 + _WORDS + _WORD_FIGURES
 
 
 def _segments(text: bytes) -> Iterator[bytes]:
@@ -124,7 +128,10 @@ def _encode(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         same[lag:] = (head[lag:] == head[:-lag]) & (part[lag:] == part[:-lag])
         figures.append(mean(same))
     figures.append(mean(cls[pos] == 3))
-    out[:, k:] = np.stack(figures, 1)
+    out[:, k + _WORDS :] = np.stack(figures, 1)
+    bucket = ((head * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6)).astype(np.int64)
+    hashed = np.bincount(of_word * _WORDS + bucket, minlength=n * _WORDS).reshape(n, _WORDS)
+    out[:, k : k + _WORDS] = np.sqrt(hashed / count[:, None])
     return doc, out
 
 
@@ -132,116 +139,115 @@ class Model:
     """Embedding, gated attention and scorer; ``prior`` alone where nothing could be learned."""
 
     def __init__(self, prior: float = 0.5, hidden: int = 24, gate: int = 12, seed: int = 7):
-        self.prior, self.weights = prior, None
+        self.prior, self.weights, self.scale = prior, None, None
         self._shape = (hidden, gate, seed)
 
-    # ---- forward
-
     def score(self, docs: list[bytes]) -> np.ndarray:
         """From 0 to 1 for each document, over all its passages."""
         if self.weights is None:
             return np.full(len(docs), self.prior)
         out = np.empty(len(docs))
         for doc, x in encode(docs):
-            out[doc[0] : doc[-1] + 1] = self._score(doc, x)
+            m, s = self.scale
+            at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+            out[doc[0] : doc[-1] + 1] = _forward(self.weights, (x - m) / s, at)[-1].round(9)
         return out
 
-    def _score(self, doc: np.ndarray, x: np.ndarray) -> np.ndarray:
-        m, s, e, e0, v, u, w, c, b = self.weights
-        h = np.maximum(0, (x - m) / s @ e + e0)
-        a = (np.tanh(h @ v) / (1 + np.exp(-(h @ u)))) @ w
-        at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        n = np.diff(np.append(at, len(doc)))
-        a = np.exp(a - np.repeat(np.maximum.reduceat(a, at), n))
-        z = np.add.reduceat(h * a[:, None], at, axis=0) / np.add.reduceat(a, at)[:, None]
-        return 1 / (1 + np.exp(-np.clip(z @ c + b, -30, 30)))
-
-    # ---- fitting
-
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 25, batch: int = 64, rate: float = 3e-3) -> Model:
         self.prior = float((y.sum() + 1) / (len(y) + 2))
         if len(set(y.tolist())) < 2:
             return self
         hidden, gate, seed = self._shape
         rng = np.random.default_rng(seed)
-        all_ = np.concatenate(bags)
-        m, s = all_.mean(0), all_.std(0) + 1e-2
-        del all_
-        n, t = len(bags), max(len(b) for b in bags)
-        x = np.zeros((n, t, FEATURES), np.float32)
-        mask = np.zeros((n, t), np.float32)
-        for i, bag in enumerate(bags):
-            x[i, : len(bag)] = (bag - m) / s
-            mask[i, : len(bag)] = 1
-        p = [rng.normal(0, np.sqrt(1 / d), (d, k)).astype(np.float32) for d, k in ((FEATURES, hidden), (hidden, gate), (hidden, gate), (gate, 1), (hidden, 1))]
-        e, v, u, w, c = p
-        e0, b = np.zeros(hidden, np.float32), np.zeros(1, np.float32)
-        params = [e, e0, v, u, w, c, b]
+        n = sum(map(len, bags))
+        m = (sum(b.sum(0, dtype=np.float64) for b in bags) / n).astype(np.float32)
+        s = np.sqrt(sum(((b - m) ** 2).sum(0, dtype=np.float64) for b in bags) / n).astype(np.float32) + np.float32(1e-2)
+        shapes = ((FEATURES, hidden), (hidden,), (hidden, gate), (hidden, gate), (gate,), (hidden,), ())
+        params = [(rng.normal(0, np.sqrt(1 / d[0]), d) if d and i != 1 else np.zeros(d)).astype(np.float32) for i, d in enumerate(shapes)]
         m1, m2, step = [np.zeros_like(q) for q in params], [np.zeros_like(q) for q in params], 0
         for _ in range(epochs):
-            order = rng.permutation(n)
-            for i in range(0, n, batch):
+            order = rng.permutation(len(bags))
+            for i in range(0, len(bags), batch):
                 k = order[i : i + batch]
-                long = int(mask[k].sum(1).max())
-                xb, mb, yb = x[k, :long], mask[k, :long], y[k]
-                pre = xb @ e + e0
-                h = np.maximum(0, pre)
-                tv, sg = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
-                a = (tv * sg @ w)[..., 0]
-                a = np.exp(a - a.max(1, keepdims=True)) * mb
-                a /= a.sum(1, keepdims=True)
-                z = (a[..., None] * h).sum(1)
-                out = 1 / (1 + np.exp(-np.clip((z @ c)[:, 0] + b[0], -30, 30)))
-                # backward
-                d = ((out - yb) / len(k)).astype(np.float32)
-                gz = d[:, None] * c[:, 0]
-                ga = (gz[:, None, :] * h).sum(-1)
-                ga = a * (ga - (a * ga).sum(1, keepdims=True))
-                gts = ga[..., None] * w[:, 0]
-                gv, gu = gts * sg * (1 - tv**2), gts * tv * sg * (1 - sg)
-                gh = (a[..., None] * gz[:, None, :] + gv @ v.T + gu @ u.T) * (pre > 0)
-                flat = lambda q: q.reshape(-1, q.shape[-1])
-                grads = [flat(xb).T @ flat(gh), flat(gh).sum(0), flat(h).T @ flat(gv), flat(h).T @ flat(gu), flat(tv * sg).T @ ga.reshape(-1, 1), z.T @ d[:, None], np.array([d.sum()])]
+                at = np.cumsum([0] + [len(bags[j]) for j in k[:-1]])
+                grads = gradients(params, (np.concatenate([bags[j] for j in k]) - m) / s, at, y[k])
                 step += 1
-                for q, g, f, g2 in zip(params, grads, m1, m2):
-                    g = g + 1e-4 * q
-                    f += 0.1 * (g - f)
-                    g2 += 0.001 * (g * g - g2)
-                    q -= (rate * (f / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        self.weights = (m.astype(np.float32), s.astype(np.float32), e, e0, v, u, w[:, 0], c[:, 0], float(b[0]))
+                for j, g in enumerate(grads):
+                    g = g + 1e-4 * params[j]
+                    m1[j] = 0.9 * m1[j] + 0.1 * g
+                    m2[j] = 0.999 * m2[j] + 0.001 * g * g
+                    params[j] = (params[j] - rate * (m1[j] / (1 - 0.9**step)) / (np.sqrt(m2[j] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        # Scored in double precision and rounded: equal texts get equal scores, whatever stands beside them.
+        self.weights, self.scale = [q.astype(float) for q in params], (m.astype(float), s.astype(float))
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", train_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from at most ``train_docs`` labelled documents that are not held out."""
+def _forward(params: list[np.ndarray], x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of bags that begin at rows ``at``: before the embedding's kink, the embedding, tanh, gate, weights, bags, scores."""
+    e, e0, v, u, w, c, b = params
+    n = np.diff(np.append(at, len(x)))
+    pre = x @ e + e0
+    h = np.maximum(0, pre)
+    tv, sg = np.tanh(h @ v), 1 / (1 + np.exp(-(h @ u)))
+    a = (tv * sg) @ w
+    a = np.exp(a - np.repeat(np.maximum.reduceat(a, at), n))
+    a /= np.repeat(np.add.reduceat(a, at), n)
+    z = np.add.reduceat(h * a[:, None], at, axis=0)
+    return pre, h, tv, sg, a, z, 1 / (1 + np.exp(-np.clip(z @ c + b, -30, 30)))
+
+
+def gradients(params: list[np.ndarray], x: np.ndarray, at: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean logistic loss of some bags, by parameter."""
+    e, e0, v, u, w, c, b = params
+    pre, h, tv, sg, a, z, out = _forward(params, x, at)
+    n = np.diff(np.append(at, len(x)))
+    d = ((out - y) / len(y)).astype(x.dtype)
+    gz = np.repeat(d[:, None] * c, n, axis=0)
+    ga = (gz * h).sum(1)
+    ga = a * (ga - np.repeat(np.add.reduceat(a * ga, at), n))
+    gts = ga[:, None] * w
+    gv, gu = gts * sg * (1 - tv**2), gts * tv * sg * (1 - sg)
+    gh = (a[:, None] * gz + gv @ v.T + gu @ u.T) * (pre > 0)
+    return [x.T @ gh, gh.sum(0), h.T @ gv, h.T @ gu, (tv * sg).T @ ga, z.T @ d, d.sum()]
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Learn from at most ``train_docs`` labelled documents that are not held out, of ``train_bytes`` together."""
     spark = docs.sparkSession
     known = labels.select(F.col(label_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i")))
     sample = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(train_docs).collect()
     if not sample:
         return Model()
     chosen = F.broadcast(spark.createDataFrame(sample, "i long, y int"))  # train_docs rows at most
-    bags = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(chosen, "i").dropDuplicates(["i"])
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(chosen, "i").withColumn("h", F.xxhash64("t"))
+    # One text an id, and its size: train_docs rows at most.
+    sizes = rows.select("i", F.struct("h", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n")).alias("s")).groupBy("i").agg(F.min("s").alias("s"), F.xxhash64("i").alias("o")).select("i", "s.*", "o").collect()
+    room, taken = train_bytes, []
+    for r in sorted(sizes, key=lambda r: (r.o, r.i)):
+        if r.n <= room:
+            room -= r.n
+            taken.append((r.i, r.h))
+    if not taken:
+        return Model()
+    bags = rows.join(F.broadcast(spark.createDataFrame(taken, "i long, h long")), ["i", "h"]).groupBy("i", "h").agg(F.first("y").alias("y"), F.first("t").alias("t"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[int, list[np.ndarray]] = {}
         for doc, x in encode(texts(batch, "t")):
             for d in np.unique(doc):
-                found.setdefault(int(d), []).append(x[doc == d])
-        rows = []
-        for d in range(batch.num_rows):
-            x = np.concatenate(found[d])
-            rows.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int))].tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), pa.array(rows, pa.binary())], ["i", "y", "x"])
+                found.setdefault(int(d), []).append(x[doc == d].astype(np.float16))
+        return pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), pa.array([np.concatenate(found[d]).tobytes() for d in range(batch.num_rows)], pa.binary())], ["i", "y", "x"])
 
-    got = sorted(map_arrow(bags, each, "i long, y int, x binary").collect(), key=lambda r: r.i)
-    return Model().fit([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got], np.array([r.y for r in got], np.float32)) if got else Model()
+    got = sorted(map_arrow(bags.select("i", "y", "t"), each, "i long, y int, x binary").collect(), key=lambda r: r.i)
+    return Model().fit([np.frombuffer(r.x, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got], np.array([r.y for r in got], np.float32))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of every whole text as a further, last column."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """``docs`` with the score of every whole text as a further, last column; one of that name is replaced."""
+    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col or c == text])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(texts(batch, text)), pa.float64())], [*batch.schema.names, score_col])
 
-    return map_arrow(docs, each, f"{schema}, `{score_col}` double")
+    return map_arrow(rest, each, f"{schema}, `{score_col}` double")
