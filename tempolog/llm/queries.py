@@ -62,7 +62,7 @@ def drill(page_id: int | None, data: bytes) -> bytes:
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drill: all pages as WARC, a replica with known damage, and for each record whether the audit finds it intact."""
     path, index = warc.write(table(spark, sf_dir, "pages"))
-    wrong = warc.audit(index, path, warc.copy(path, index, drill)).select("file", "seq", F.lit(False).alias("intact"))
+    wrong = warc.audit(index, path, warc.copy(path, index, drill)).select("file", "seq", F.lit(False).alias("intact"))  # none beyond the index in this drill
     return index.join(wrong, ["file", "seq"], "left").select("page_id", "seq", "offset", "length", F.coalesce("intact", F.lit(True)).alias("intact"))
 
 

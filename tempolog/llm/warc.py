@@ -2,17 +2,22 @@
 
 ``write`` turns pages into WARC/1.1 response records, one gzip member each, in
 files of about ``FILE_BYTES``, and returns the index: which record lies where.
-``leaves`` hashes every record of a replica by the index (offset, length and
-stored bytes), ``levels`` hashes ordered runs of ``FANOUT`` nodes up to one
-root a file, and ``audit`` compares the roots of two replicas and descends only
-below nodes that differ, down to the damaged records.
+``trees`` hashes every record of a replica by the index (offset, length and
+stored bytes), what lies after the last record, and ordered runs of ``FANOUT``
+nodes up to one root a file; a task makes the tree of a file in one reading, as
+a file's size bounds it.  ``audit`` compares the roots of two replicas, then,
+level by level, only the children of nodes that differ, down to the damage.
 
 Files are written under a name of their own and renamed when whole, so tasks
 may run again.  Rows keep their order; nothing is shuffled to write.
 
-Edge cases: null columns are written as empty; an empty table gives no file; a
-file that is missing or cut short in a replica yields the hash of what is
-there; repeated rows are records of their own; other columns are ignored.
+Edge cases: null columns are written as empty; ids are integers (cast to
+bigint); an empty table gives no file; a file that is missing or cut short in a
+replica yields the hash of what is there; bytes after a file's last record are
+found as a record after the last, files beyond the index as one record each
+(without a page); repeated rows are records of their own, in any order among
+themselves; other columns are ignored, whatever their names.  A page is held
+whole, so the longest one must fit a worker.
 """
 
 from __future__ import annotations
@@ -143,48 +148,55 @@ def leaf(offset: int, data: bytes) -> str:
     return hashlib.sha256(struct.pack("<QQ", offset, len(data)) + data).hexdigest()
 
 
-def leaves(path: str, index: DataFrame) -> DataFrame:
-    """``file, level, node, hash`` of every record as it is stored in the replica at ``path``."""
+def node(children: list[str]) -> str:
+    return hashlib.sha256("".join(children).encode()).hexdigest()
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (name,), (recs,) = batch.column("file").to_pylist(), batch.column("recs").to_pylist()
-        data = _load(path, name)
-        found = [leaf(r["offset"], data[r["offset"] : r["offset"] + r["length"]]) for r in recs]
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(recs)), pa.array([0] * len(recs), pa.int32()), pa.array([r["seq"] for r in recs]), pa.array(found)], ["file", "level", "node", "hash"])
 
-    return _by_file(index, each, "file string, level int, node long, hash string")
+def tree(data: bytes, recs: list[tuple[int, int]], fanout: int = FANOUT) -> list[list[str]]:
+    """Levels of hashes: records and what follows them, then runs of ``fanout`` nodes, up to the root alone."""
+    end = max((o + n for o, n in recs), default=0)
+    out = [[leaf(o, data[o : o + n]) for o, n in recs] + [leaf(end, data[end:])]]
+    while len(out[-1]) > 1:
+        out.append([node(out[-1][i : i + fanout]) for i in range(0, len(out[-1]), fanout)])
+    return out
 
 
-def levels(leaves_: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
-    """All levels of the tree of each file; the last has one node, the root."""
-    out = level = leaves_.repartition("file")  # a file's nodes stay together: one exchange for all levels
-    for i in range(1, depth + 1):
-        runs = level.groupBy("file", F.expr(f"node div {fanout}").alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("c"))
-        level = runs.select("file", F.lit(i).alias("level"), "node", F.sha2(F.array_join("c.hash", "").cast("binary"), 256).alias("hash"))
-        out = out.unionByName(level)
-    return out
+def trees(path: str, index: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """``file, level, node, hash, root`` of the replica at ``path``; files beyond the index are one leaf, missing ones hash as empty."""
+    names = index.sparkSession.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file")).where("file not like '\\_%'")
+    recs = index.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "offset", "length"))).alias("recs"))
+    files = names.distinct().join(recs, "file", "full")
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, r in zip(batch.column("file").to_pylist(), batch.column("recs").to_pylist()):
+                made = tree(_load(path, name), [(x["offset"], x["length"]) for x in r or ()], fanout)
+                for level, hashes in enumerate(made):
+                    n = len(hashes)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([level] * n, pa.int32()), pa.array(range(n), pa.int64()), pa.array(hashes), pa.array([level + 1 == len(made)] * n)], ["file", "level", "node", "hash", "root"])
 
-def depth_of(index: DataFrame, fanout: int = FANOUT) -> int:
-    most = index.agg(F.max("seq")).first()[0] or 0
-    depth = 1
-    while fanout**depth <= most:
-        depth += 1
-    return depth
+    return files.mapInArrow(task, "file string, level int, node long, hash string, root boolean")
 
 
 def audit(index: DataFrame, one: str, other: str, fanout: int = FANOUT) -> DataFrame:
-    """The records that differ between two replicas: ``file, seq, hash_one, hash_other``."""
-    depth = depth_of(index, fanout)
-    a, b = (written(levels(leaves(p, index), depth, fanout), "warc-tree") for p in (one, other))
-
-    def pairs(level: int) -> DataFrame:
-        at = lambda t, name: t.where(F.col("level") == level).select("file", "node", F.col("hash").alias(name))
-        return at(a, "hash_one").join(at(b, "hash_other"), ["file", "node"], "full")
-
-    wrong = pairs(depth).where(~F.col("hash_one").eqNullSafe(F.col("hash_other")))
-    for level in range(depth - 1, -1, -1):
-        above = wrong.select("file", F.col("node").alias("parent"))
-        below = pairs(level).where(~F.col("hash_one").eqNullSafe(F.col("hash_other"))).withColumn("parent", F.expr(f"node div {fanout}"))
-        wrong = below.join(above, ["file", "parent"], "left_semi").drop("parent")
-    return wrong.withColumnRenamed("node", "seq")
+    """The records that differ between two replicas: ``file, seq, hash_one, hash_other``.
+
+    A tree is read by level: of a level, only the children of what differs above are joined.
+    """
+    a, b = (written(trees(p, index, fanout), "warc-tree", by="level") for p in (one, other))
+    roots = [t.where("root").select("file", "level", "node", F.col("hash").alias(name)) for t, name in ((a, "hash_one"), (b, "hash_other"))]
+    wrong = roots[0].join(roots[1], ["file", "level", "node"], "full").where(~F.col("hash_one").eqNullSafe(F.col("hash_other")))
+    wrong = written(wrong, "warc-roots")
+    top = wrong.agg(F.max("level")).first()[0]
+    found = wrong.where("level = 0")
+    for level in range(top or 0, 0, -1):
+        parents = wrong.where(F.col("level") == level).select("file", F.col("node").alias("parent")).distinct()
+        below = [
+            t.where(F.col("level") == level - 1).withColumn("parent", F.expr(f"node div {fanout}")).join(parents, ["file", "parent"], "left_semi").select("file", "level", "node", F.col("hash").alias(name))
+            for t, name in ((a, "hash_one"), (b, "hash_other"))
+        ]
+        differ = below[0].join(below[1], ["file", "level", "node"], "full").where(~F.col("hash_one").eqNullSafe(F.col("hash_other")))
+        # Roots of smaller files stand at this level too.
+        wrong = written(differ.unionByName(wrong.where(F.col("level") < level)).distinct(), "warc-wrong")
+        found = wrong.where("level = 0")
+    return found.select("file", F.col("node").alias("seq"), "hash_one", "hash_other")
