@@ -1,19 +1,21 @@
 """License scan by a positional index of rare licence words.
 
-Templates are short licence notices.  The index maps a word to its postings
-``(template, position)``; the words' document frequencies come from the whole
-corpus.  For each file and template the file's rarest words of that template
-are looked up; every occurrence, minus the posting's position, proposes where
-the template would start; proposals on which enough of the words agree are
-kept, and the template counts only when one of its mandatory key phrases
-stands, word for word, inside the aligned span.
-
-A *base* template is one phrase that is its own key phrase.  All its words
-stand in any file that has the phrase, so the file's rarest one leads to every
-occurrence: base counts are exact.
-
-Edge cases: a null or empty text has no word, no label and score 0; repeated
-rows give repeated results; other columns are ignored.
+Templates are short licence notices and their mandatory key phrases, each
+indexed as a pattern of its own: a word has postings ``(pattern, position)``.
+The words' document frequencies come from the whole corpus.  For each file and
+pattern the file's rarest words of that pattern are looked up, and occurrence
+minus position proposes where the pattern would start.  A key phrase stands
+where all its looked-up words propose the same start and the phrase is there
+word for word; since all its words stand in a file that has it, no place is
+missed.  A label counts where one of its key phrases stands; the score is how
+much of the notice, by weight, stands where its rare words agree most, but no
+less than what the key phrase weighs.
+
+A *base* template is one phrase that is its own key phrase: its places are
+counted, exactly.
+
+Edge cases: a null or empty text has no word, no label and score 0; ids are of
+any type; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,76 +81,83 @@ class Index:
 
     def __init__(self, templates: tuple[Template, ...], docs_with: dict[bytes, int], n_docs: int, rare: int = 4):
         self.rare = rare
-        self.templates = [(t, t.text.encode().split(), [k.encode().split() for k in t.keys]) for t in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for i, (_, words, keys) in enumerate(self.templates):
-            for p, w in enumerate(words):
-                self.postings[w].append((i, p))
-            for key in keys:  # a key phrase that the notice words differently
-                for w in key:
-                    if w not in words:
-                        self.postings[w].append((i, -1))
-        self.idf = {w: math.log((n_docs + 1) / (docs_with.get(w, 0) + 1)) + 1e-9 for w in self.postings}
+        self.notices = [t.text.encode().split() for t in templates]
+        self.templates = templates
+        #: Key phrases of all templates: exact patterns, and the template each belongs to.
+        self.keys = [(i, k.encode().split()) for i, t in enumerate(templates) for k in t.keys]
+        #: Postings: the places of each word, by pattern.
+        self.of_key, self.of_notice = _postings([key for _, key in self.keys]), _postings(self.notices)
+        self.words = self.of_key.keys() | self.of_notice.keys()
+        self.needs = [len(set(key)) for _, key in self.keys]
+        self.idf = {w: math.log((n_docs + 1) / (docs_with.get(w, 0) + 1)) + 1e-9 for w in self.words}
         #: By falling weight, ties by the word: the order in which a file's words are looked up.
-        self.rank = {w: r for r, w in enumerate(sorted(self.postings, key=lambda w: (-self.idf[w], w)))}
+        self.rank = {w: r for r, w in enumerate(sorted(self.words, key=lambda w: (-self.idf[w], w)))}
+
+    def places(self, k: int, at: dict[bytes, list[int]], words: list[bytes]) -> list[int]:
+        """Where a key phrase stands: the starts that its rarest words agree on, verified word for word."""
+        key = self.keys[k][1]
+        starts: set[int] | None = None
+        for w in sorted(set(key), key=self.rank.__getitem__)[: self.rare]:
+            here = {p - q for q in self.of_key[w][k] for p in at[w]}
+            starts = here if starts is None else starts & here
+            if not starts:
+                return []
+        return sorted(s for s in starts if s >= 0 and words[s : s + len(key)] == key)
+
+    def likeness(self, i: int, at: dict[bytes, list[int]], words: list[bytes]) -> float:
+        """The share, by weight, of a notice that stands where most of its rarest words in the file agree."""
+        notice = self.notices[i]
+        votes: dict[int, int] = defaultdict(int)
+        for w in sorted({w for w in notice if w in at}, key=self.rank.__getitem__)[: self.rare]:
+            for s in {p - q for q in self.of_notice[w][i] for p in at[w]}:
+                votes[s] += 1
+        most, best = max(votes.values(), default=0), 0.0
+        for s in (s for s, n in votes.items() if n == most):
+            best = max(best, sum(self.idf[w] for q, w in enumerate(notice) if 0 <= s + q < len(words) and words[s + q] == w))
+        return best / sum(self.idf[w] for w in notice)
+
+    def share(self, i: int, key: list[bytes]) -> float:
+        """What a key phrase weighs beside the words of its notice: the least that it counts for."""
+        weigh = lambda some: sum(self.idf[w] for w in some)
+        return weigh(set(key)) / weigh({*key, *self.notices[i]})
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int]], set[str], float]:
         """Base places ``(label, start)``, all labels, and the best score."""
-        here = self.postings.keys() & set(words)
-        if not here:
-            return [], set(), 0.0
-        #: A template all of whose key phrases miss a word can't be verified.
-        open_ = {i for i, (_, _, keys) in enumerate(self.templates) if any(here.issuperset(k) for k in keys)}
+        here = self.words & set(words)
+        have: dict[int, int] = defaultdict(int)
+        for w in here & self.of_key.keys():
+            for k in self.of_key[w]:
+                have[k] += 1
+        open_ = sorted(k for k, n in have.items() if n == self.needs[k])  # a phrase that lacks a word can't stand
         if not open_:
             return [], set(), 0.0
         at: dict[bytes, list[int]] = defaultdict(list)
         for p, w in enumerate(words):
             if w in here:
                 at[w].append(p)
-        chosen: dict[int, list[tuple[bytes, list[int]]]] = defaultdict(list)
-        for w in sorted(here, key=self.rank.__getitem__):
-            by: dict[int, list[int]] = defaultdict(list)
-            for i, p in self.postings[w]:
-                if i in open_:
-                    by[i].append(p)
-            for i, ps in by.items():
-                if len(chosen[i]) < (1 if self.templates[i][0].base else self.rare):
-                    chosen[i].append((w, ps))
         base, labels, score = [], set(), 0.0
-        for i, picked in chosen.items():
-            t, pattern, keys = self.templates[i]
-            n = len(pattern)
-            if t.base:
-                (w, ps) = picked[0]
-                starts = {p - q for p in at[w] for q in ps}
-                hits = [s for s in sorted(starts) if s >= 0 and words[s : s + n] == pattern]
-                if hits:
-                    base += [(t.label, s) for s in hits]
-                    labels.add(t.label)
-                    score = 1.0
+        seen: set[int] = set()
+        for k in open_:
+            if not (found := self.places(k, at, words)):
                 continue
-            if len(picked) < 2:
-                continue
-            votes: dict[int, set[bytes]] = defaultdict(set)
-            for w, ps in picked:
-                for p in at[w]:
-                    for q in ps:
-                        votes[p - max(q, 0)].add(w)
-            for s, who in votes.items():
-                if len(who) < 2:
-                    continue
-                lo = max(0, s - n)
-                span = words[lo : s + 2 * n]
-                if any(_within(span, key) for key in keys):
-                    labels.add(t.label)
-                    same = sum(self.idf[w] for q, w in enumerate(pattern) if 0 <= s + q < len(words) and words[s + q] == w)
-                    score = max(score, same / sum(self.idf[w] for w in pattern))
+            i, key = self.keys[k]
+            t = self.templates[i]
+            labels.add(t.label)
+            if t.base:
+                base += [(t.label, s) for s in found]
+                score = 1.0
+            elif i not in seen and score < 1:
+                seen.add(i)
+                score = max(score, self.likeness(i, at, words), self.share(i, key))
         return base, labels, min(1.0, score)
 
 
-def _within(span: list[bytes], key: list[bytes]) -> bool:
-    n = len(key)
-    return any(span[i : i + n] == key for i, w in enumerate(span) if w == key[0])
+def _postings(patterns: list[list[bytes]]) -> dict[bytes, dict[int, list[int]]]:
+    out: dict[bytes, dict[int, list[int]]] = {}
+    for k, words in enumerate(patterns):
+        for q, w in enumerate(words):
+            out.setdefault(w, {}).setdefault(k, []).append(q)
+    return out
 
 
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...], text: str = "text") -> tuple[dict[bytes, int], int]:
