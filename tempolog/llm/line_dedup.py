@@ -8,11 +8,13 @@ stands everywhere costs one sketch a task.  Lines whose estimate is within
 distinct count; the others are decided by the estimate.
 
 Texts are never shuffled to be counted: only hashes of lines are.  Then each
-text is joined with the boilerplate hashes that it has, and loses those lines.
+text is joined with the places of its boilerplate lines, and loses these; what
+lies between two places is copied in one piece, so long texts cost no more.
 
 Edge cases: a null text counts as empty; lines are compared without the spaces
-around them, and blank ones stay; a null site is a site of its own; repeated
-rows are cleaned alike; other columns stay as they are.
+around them, and blank ones stay; a null site is a site of its own; ids may be
+null or repeat, as rows are told apart by id and text; repeated rows are cleaned
+alike; columns named ``n_lines`` or ``n_removed`` are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ def line_key(line: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str, site: str) -> DataFrame:
-    """``id, site, h, h2``: hashes of the lines that are not blank.  Two of them: 96 bits."""
+    """``id, th, site, n, h, h2``: hash of the text; place and hashes (96 bits) of the lines that are not blank."""
     site_ = F.when(F.col(site).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(site).cast("string")))
-    rows = docs.select(F.col(doc_id).alias("id"), site_.alias("site"), F.explode(lines_of(F.col(text))).alias("line")).where(F.trim("line") != "")
-    return rows.select("id", "site", line_key(F.col("line")).alias("h"), F.hash(F.trim("line")).alias("h2"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), site_.alias("site"), F.posexplode(lines_of(F.col(text))).alias("n", "line")).where(F.trim("line") != "")
+    return rows.select("id", "th", "site", "n", line_key(F.col("line")).alias("h"), F.hash(F.trim("line")).alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
@@ -59,13 +61,16 @@ def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """``docs`` with cleaned texts and, as last columns, ``n_lines`` and ``n_removed``."""
     lines = written(_hashed(docs, doc_id, text, site), "lines")
     known = boilerplate(lines, min_sites)
-    # The boilerplate of one document: no more than its own lines.
-    own = lines.join(known, ["h", "h2"]).groupBy("id").agg(F.collect_set(F.struct("h", "h2")).alias("__line_dedup_drop__")).withColumnRenamed("id", "__line_dedup_id__")
-    joined = docs.join(own, F.col(doc_id).eqNullSafe(F.col("__line_dedup_id__")), "left")
-    all_ = lines_of(F.col(text))
-    stay = F.filter(all_, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__line_dedup_drop__"), F.struct(line_key(x).alias("h"), F.hash(F.trim(x)).alias("h2"))))
-    kept = F.when(F.col("__line_dedup_drop__").isNull(), all_).otherwise(stay)
-    out = joined.select(*[docs[c] for c in docs.columns if c != text], F.size(all_).cast("long").alias("n_lines"), kept.alias("__line_dedup_kept__"))
+    # The places in one text: no more than its lines.
+    own = lines.join(known, ["h", "h2"]).groupBy("id", "th").agg(F.sort_array(F.collect_set("n")).alias("__line_dedup_at__")).select(F.col("id").alias("__line_dedup_id__"), F.col("th").alias("__line_dedup_th__"), "__line_dedup_at__")
+    joined = docs.join(own, F.col(doc_id).eqNullSafe(F.col("__line_dedup_id__")) & (F.xxhash64(text) == F.col("__line_dedup_th__")), "left")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    out = joined.select(*[docs[c] for c in names if c != text], lines_of(docs[text]).alias("__line_dedup_all__"), "__line_dedup_at__")
+    all_, at = F.col("__line_dedup_all__"), F.col("__line_dedup_at__")
+    cuts = F.concat(F.array(F.lit(-1)), at, F.array(F.size(all_)))
+    between = F.transform(F.sequence(F.lit(0), F.size(at)), lambda i: F.slice(F.col("__line_dedup_all__"), F.get("__line_dedup_cuts__", i) + 2, F.get("__line_dedup_cuts__", i + 1) - F.get("__line_dedup_cuts__", i) - 1))
+    out = out.withColumn("__line_dedup_cuts__", cuts).withColumn("__line_dedup_kept__", F.when(at.isNull(), all_).otherwise(F.flatten(between)))
     return out.select(
-        *[F.array_join("__line_dedup_kept__", "\n").alias(text) if c == text else F.col(c) for c in docs.columns], "n_lines", (F.col("n_lines") - F.size("__line_dedup_kept__")).alias("n_removed")
-    )
+        *[F.array_join("__line_dedup_kept__", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in names],
+        F.size(all_).cast("long").alias("n_lines"), (F.size(all_) - F.size("__line_dedup_kept__")).cast("long").alias("n_removed"),
+    )
