@@ -8,12 +8,15 @@ algorithm gives the least edit distance of the item to a substring of it.
 
 Texts and items are compared as lower-cased letters and digits with one space
 between words and around the whole.  Items are dealt into blocks of a bounded
-number of characters; each block is matched against all rows, so a benchmark
-of any size keeps an automaton that fits a worker.
+number of characters by executors, and lie in the shared folder; the driver
+only counts them.  Each block is matched against all rows, so a benchmark of
+any size keeps an automaton that fits a worker, at the price of one pass a
+block of a million characters.
 
 Edge cases: null or empty texts and items match nothing; an item too short for
-one edit is searched for exactly; equal items are all reported; repeated rows
-give repeated results; other columns are ignored.
+one edit is searched for exactly; equal items are all reported; ids of rows and
+of items are of any type; repeated rows give repeated results; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from collections import defaultdict
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow
+from .common import map_arrow, shared_path
 
 #: Edits allowed for each character of an item.
 RATE = 0.05
@@ -77,7 +83,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Block:
     """The automaton of some items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float):
         self.items = [(i, t, int(len(t) * rate)) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, t, k) in enumerate(self.items):
@@ -86,10 +92,13 @@ class Block:
         self.auto = ahocorasick.Automaton()
         for piece, where in found.items():
             self.auto.add_word(piece, (len(piece), where))
-        self.auto.make_automaton()
+        if found:
+            self.auto.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str) -> list[tuple[object, int, int, int]]:
         """``(item_id, errors, from, to)``: the best place in the normalised text of each item that it holds."""
+        if not self.items:
+            return []
         starts: dict[int, list[int]] = defaultdict(list)
         for end, (n, where) in self.auto.iter(text):
             for item, at in where:
@@ -114,22 +123,32 @@ class Block:
                     lo, hi = (s if lo is None else lo), s
             if best:
                 out.append((item, *best))
-        return sorted(out)
+        return sorted(out, key=lambda r: (str(r[0]), r[1:]))
 
 
-def blocks(items: DataFrame, item_id: str, text: str, rate: float, block_chars: int, unnamed: bool = False) -> list[list[tuple[int, str]]]:
-    """The stated test items, normalised, in blocks of bounded size; with ``unnamed`` those without an id too, all as item 0."""
-    out: list[list[tuple[int, str]]] = []
-    room = 0
+def blocks(items: DataFrame, item_id: str, text: str, block_chars: int, unnamed: bool = False) -> list[str]:
+    """Paths of the test items ``i, t`` in blocks of about ``block_chars`` characters; with ``unnamed`` those without an id too.
+
+    A block is a hash of the item's text: items that are equal share one, the others are spread evenly.
+    """
+    spark = items.sparkSession
     items = items.select(F.col(item_id).alias("i"), F.col(text).alias("t"))
-    for r in (items.withColumn("i", F.lit(0)) if unnamed else items.where("i is not null")).orderBy("i", "t").toLocalIterator():
-        if t := normalise(r.t):
-            if room < len(t):
-                out.append([])
-                room = block_chars
-            out[-1].append((r.i, t))
-            room -= len(t)
-    return out
+    items = (items if unnamed else items.where("i is not null")).where(F.length("t") > 0)
+    n = -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // block_chars)
+    if not n:
+        return []
+    out = shared_path(spark, "items")
+    items.withColumn("block", F.pmod(F.xxhash64("t"), F.lit(n)).cast("int")).repartition(min(n, 200), "block").write.partitionBy("block").parquet(out)
+    return [f"{out}/block={k}" for k in range(n)]
+
+
+def load_block(path: str) -> list[tuple[object, str]]:
+    """The items of a block, normalised, in order; equal ones too."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(root).type == pafs.FileType.NotFound:  # no item fell there
+        return []
+    got = pq.read_table(root, filesystem=fs, partitioning=None)
+    return [(i, n) for i, t in zip(got["i"].to_pylist(), got["t"].to_pylist()) if (n := normalise(t))]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -139,33 +158,38 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Items without an id can't be named and give no row.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, errors int, `start` int, `end` int"
+    kinds = docs.schema["doc_id"].dataType, items.schema[item_id].dataType
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, errors int, `start` int, `end` int"
     out = None
-    for items_ in blocks(items, item_id, item_text, rate, block_chars):
-        found = map_arrow(docs, _Matcher(items_, rate), schema)
+    for path in blocks(items, item_id, item_text, block_chars):
+        found = map_arrow(docs, _Matcher(path, rate, to_arrow_type(kinds[1])), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no test item, items without an id included, with all their columns, in one pass a block: nothing is shuffled."""
-    for items_ in blocks(items, item_id, item_text, rate, block_chars, unnamed=True):
-        docs = map_arrow(docs, _Filter(items_, rate, text), docs.schema)
+    for path in blocks(items, item_id, item_text, block_chars, unnamed=True):
+        docs = map_arrow(docs, _Filter(path, rate, text), docs.schema)
     return docs
 
 
 class _Matcher:
     """Builds its block's automaton once in each worker."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items, self.rate, self.block = items, rate, None
+    def __init__(self, path: str, rate: float, kind: pa.DataType | None = None):
+        self.path, self.rate, self.kind, self._block = path, rate, kind, None
 
     def __getstate__(self):
-        return {"items": self.items, "rate": self.rate, "block": None}
+        return self.__dict__ | {"_block": None}
+
+    @property
+    def block(self) -> Block:
+        if self._block is None:
+            self._block = Block(load_block(self.path), self.rate)
+        return self._block
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        self.block = self.block or Block(self.items, self.rate)
         at, rows = [], []
         for n, t in enumerate(batch.column("t").to_pylist()):
             found = self.block.matches(normalise(t)) if t else []
@@ -173,20 +197,16 @@ class _Matcher:
             rows += found
         cols = list(zip(*rows)) or [[]] * 4
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:])],
+            [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(cols[0], self.kind), *(pa.array(c, pa.int32()) for c in cols[1:])],
             ["doc_id", "item_id", "errors", "start", "end"],
         )
 
 
 class _Filter(_Matcher):
-    def __init__(self, items: list[tuple[int, str]], rate: float, text: str):
-        super().__init__(items, rate)
+    def __init__(self, path: str, rate: float, text: str):
+        super().__init__(path, rate)
         self.text = text
 
-    def __getstate__(self):
-        return super().__getstate__() | {"text": self.text}
-
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        self.block = self.block or Block(self.items, self.rate)
         clean = [not (t and self.block.matches(normalise(t))) for t in batch.column(self.text).to_pylist()]
         return batch.filter(pa.array(clean, pa.bool_()))
