@@ -21,9 +21,9 @@ Components come from alternating large-star and small-star steps on written
 edge tables.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other;
-rows with a null id get a fingerprint and the component of their fingerprint,
-or null if no row with an id has it or links to it; repeated rows stay and
-agree; other columns are ignored.
+ids are integers (cast to bigint); rows with a null id get a fingerprint and the
+component of their fingerprint, or null if no row with an id has it; repeated
+rows stay and agree; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_arrow, texts, written
+from .common import bound_batches, map_arrow, release, texts, written
 
 BITS = 64
 #: Fingerprints of one key group that are compared in pairs; more than these meet at midpoints instead.
@@ -223,24 +223,35 @@ def links(nodes: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
     return found.distinct()
 
 
+#: Parts that the neighbours of a node are dealt into, so that a node with very many is no task of its own.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``a, b, m``: each neighbour b of a, with the least of a's neighbours; a hot a's neighbours stay apart."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy("a", "s").agg(F.min("b").alias("p"))
+    least = parts.groupBy("a").agg(F.min("p").alias("m"))
+    return dealt.join(parts.select("a", "s").join(least, "a"), ["a", "s"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, root``: the least id of the component of every id that has an edge (``a > b``)."""
     edges = written(edges.select("a", "b").distinct(), "cc")
     for _ in range(rounds):
         # Large star: every larger neighbour of a node moves to the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        # Small star: smaller neighbours of a node, and the node, move to the least of them.
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = written(large.distinct(), "cc")
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = large.join(least.where("n > 1"), "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = written(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "cc")
+        # Small star: smaller neighbours of a node, and the node, move to the least of them.
+        met = _with_least(large)
+        small = met.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = written(met.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "cc")
+        release(edges, large)
+        edges = new
         # Done when every node has one edge and no root has an edge of its own.
         if not new.groupBy("a").count().where("count > 1").head(1) and not new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").head(1):
-            edges = new
             break
-        edges = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -277,20 +288,38 @@ def wide_fingerprint(text: bytes) -> bytes:
     return np.packbits(2 * ones > len(raw)).tobytes()
 
 
-def _wide_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, key)``: pairs of codeword indices of two segments, for each of the pairs."""
-    index = []
+def _indices(lo: np.ndarray, hi: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the six segments: the sorted codeword indices of the word's ball, and which of them are the first of their kind."""
+    out = []
     for half in (lo, hi):
         for at, n in _SEGMENTS:
             word = ((half >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
-            index.append(np.sort(codeword_index(word[:, None] ^ _BALL), axis=1))
+            index = np.sort(codeword_index(word[:, None] ^ _BALL), axis=1)
+            out.append((index, np.concatenate([np.ones((len(lo), 1), bool), index[:, 1:] != index[:, :-1]], axis=1)))
+    return out
+
+
+def _wide_keys(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)``: pairs of codeword indices of two segments, for each of the pairs."""
+    index = _indices(lo, hi)
     rows, keys = [], []
     for p, (i, j) in enumerate(_PAIRS):
-        first = [np.concatenate([np.ones((len(lo), 1), bool), x[:, 1:] != x[:, :-1]], axis=1) for x in (index[i], index[j])]
-        both = first[0][:, :, None] & first[1][:, None, :]
-        r, a, b = np.nonzero(both)
+        r, a, b = np.nonzero(index[i][1][:, :, None] & index[j][1][:, None, :])
         rows.append(r)
-        keys.append(p << 24 | index[i][r, a] << 12 | index[j][r, b])
+        keys.append(p << 24 | index[i][0][r, a] << 12 | index[j][0][r, b])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _wider_keys(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)``: each key of two segments with each codeword index of a third: 36 bits, and which segments they are."""
+    index = _indices(lo, hi)
+    pair = key >> 24
+    rows, keys = [], []
+    for k in range(6):
+        free = ~np.array([k in p for p in _PAIRS])[pair]
+        r, c = np.nonzero(index[k][1] & free[:, None])
+        rows.append(r)
+        keys.append(key[r] << 15 | k << 12 | index[k][0][r, c])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -298,16 +327,26 @@ def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_
     """``a, b`` (ids, a > b) that connect the fingerprints of ``nodes`` (``lo, hi`` distinct, ``id``) that share a key and are near.
 
     Key groups up to ``most_paired`` are compared in one piece.  Members of larger ones are first compared with their
-    least one only, which joins what is one large group of copies; then those that are not in its component meet all
-    members, so that no link is lost and a large group is never paired with itself.
+    least one only, which joins what is one large group of copies.  Those that are not in its component meet, of the
+    members, only those with which they share a third segment's codeword index too: of unrelated fingerprints one in
+    hundreds.  Two fingerprints in reach of each other miss that only if they differ by three bits or more in each of
+    the four other segments.
     """
 
+    def columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+        return [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lo, hi = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("lo", "hi"))
-        rows, keys = _wide_keys(lo, hi)
+        rows, keys = _wide_keys(*(c.view(np.uint64) for c in columns(batch, "lo", "hi")))
         rows = pa.array(rows)
         return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in ("lo", "hi", "id"))], ["key", "lo", "hi", "id"])
 
+    def wider(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, lo, hi = columns(batch, "key", "lo", "hi")
+        rows, keys = _wider_keys(key, lo.view(np.uint64), hi.view(np.uint64))
+        rows = pa.array(rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in ("lo", "hi", "id", "minor"))], ["key", "lo", "hi", "id", "minor"])
+
     keyed = map_arrow(nodes.select("lo", "hi", "id"), each, "key long, lo long, hi long, id long")
     # Keys with more members than are compared in one piece: few, and a table of their own.
     hot = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_paired).select("key"), "near-hot")
@@ -322,11 +361,15 @@ def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_
     star = large.join(leaders, "key").where(near("l") & (F.col("id") > F.col("l_id"))).select(F.col("id").alias("a"), F.col("l_id").alias("b"))
     found = written(_forest(keyed.join(hot, "key", "left_anti"), most).unionByName(star).distinct(), "near-links")
     roots = written(components(found), "near-roots")
-    # What is not of the leader's component yet meets every member; what is has no need to meet its own.
+    # What is not of the leader's component yet meets the members; what is has no need to meet its own.
     rooted = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     l_root = leaders.select("key", "l_id").join(roots, F.col("l_id") == F.col("id"), "left").select("key", F.coalesce("root", "l_id").alias("l_root"))
-    minor = rooted.join(l_root, "key").where("root <> l_root").select("key", F.col("id").alias("m_id"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi"))
-    cross = large.join(minor, "key").where(near("m") & (F.col("id") != F.col("m_id"))).select(F.greatest("id", "m_id").alias("a"), F.least("id", "m_id").alias("b"))
+    marked = rooted.join(l_root, "key").withColumn("minor", F.col("root") != F.col("l_root"))
+    open_ = marked.where("minor").select("key").distinct()
+    longer = written(map_arrow(marked.join(open_, "key", "left_semi").select("key", "lo", "hi", "id", "minor"), wider, "key long, lo long, hi long, id long, minor boolean"), "near-longer")
+    minor = longer.where("minor").select("key", F.col("id").alias("m_id"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi"))
+    # A pair of two that are minor is met once.
+    cross = longer.join(minor, "key").where((~F.col("minor") | (F.col("id") > F.col("m_id"))) & near("m")).select(F.greatest("id", "m_id").alias("a"), F.least("id", "m_id").alias("b"))
     return found.unionByName(cross.distinct()).distinct()
 
 
@@ -433,13 +476,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     """One row per document: ``doc_id, text_hash, component_id, component_hash``.
 
     The last two name the document with the least id (of that, the least hash) reachable over near copies, which are
-    texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  ``text_hash`` tells rows of one id apart.
+    texts whose five-word shingles have a Jaccard similarity of 0.8 or more.  ``text_hash`` tells rows of one id apart;
+    a null text counts as empty, and a null id comes after all others.
 
     Fingerprints only say what to compare: texts whose fingerprints are reachable from each other make a blob, and every
     pair in a blob that is not connected yet is compared by exact shingle sets.  Blobs up to ``most_paired`` texts
     are compared in one piece; larger ones in pieces of about that size, then what these leave apart by rare shingles.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("t"))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = np.frombuffer(b"".join([wide_fingerprint(t) for t in texts(batch, "t")]), np.int64).reshape(-1, 2)
@@ -447,7 +491,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
 
     rows = written(map_arrow(docs, each, "doc_id long, text_hash long, lo long, hi long"), "near")
     # A node is a text, with the least id that has it; numbers of their own tell nodes apart where ids repeat.
-    nodes = rows.where("doc_id is not null").groupBy("lo", "hi", "text_hash").agg(F.min("doc_id").alias("least_id"))
+    nodes = rows.groupBy("lo", "hi", "text_hash").agg(F.min("doc_id").alias("least_id"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     prints = written(nodes.groupBy("lo", "hi").agg(F.min("node").alias("id")), "near-prints")
     roots = components(wide_links(prints, most, most_paired))
@@ -456,7 +500,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     sizes = members.groupBy("blob").agg(F.count("*").alias("n")).where("n > 1")
     members = members.join(sizes, "blob").select("blob", "n", "node", F.col("least_id").alias("doc_id"), "text_hash")
     # Repeated rows give a node more than once: the same text each time.
-    compared = written(docs.join(members.hint("merge"), ["doc_id", "text_hash"]).select("blob", "n", "node", "t"), "near-texts")
+    members = members.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
+    compared = written(docs.join(members.hint("merge"), same).select("blob", "n", "node", "t"), "near-texts")
     found = _verified(compared.where(F.col("n") <= most_paired))
     large = compared.where(F.col("n") > most_paired).dropDuplicates(["node"])
     if large.head(1):
@@ -469,6 +515,6 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     roots = components(found)
     named = nodes.join(roots, F.col("node") == F.col("id"), "left").select("lo", "hi", "text_hash", "least_id", F.coalesce("root", "node").alias("root"))
     named = written(named, "near-named")
-    first = named.groupBy("root").agg(F.min(F.struct("least_id", "text_hash")).alias("f"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull(), "least_id", "text_hash")).alias("f"))
     named = named.join(first, "root").select("lo", "hi", "text_hash", F.col("f.least_id").alias("component_id"), F.col("f.text_hash").alias("component_hash"))
     return rows.join(named, ["lo", "hi", "text_hash"], "left").select("doc_id", "text_hash", "component_id", "component_hash")
