@@ -1,6 +1,8 @@
 """Operators against brute force, and their edge cases."""
 
 import hashlib
+import io
+import itertools
 import random
 import re
 import zlib
@@ -20,7 +22,7 @@ from tests.compare import connect, same
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Names of the operators' own columns: as extra columns of the input they must not matter.
-CLASH = ["t", "i", "h", "k", "norm", "salt", "run", "key", "n", "fp", "id", "lo", "hi", "component_id", "score", "keep_id", "line", "site", "size", "part", "p", "row", "y", "l", "_drop", "_id"]
+CLASH = ["t", "i", "h", "k", "norm", "salt", "run", "key", "n", "fp", "id", "lo", "hi", "component_id", "score", "keep_id", "line", "site", "size", "part", "p", "row", "y", "l", "_drop", "_id", "n_lines", "n_removed", "file", "s", "target", "none", "docs", "k", "w", "root", "hash"]
 
 EDGE = [
     (1, None, "en", "a"), (2, "", "en", "a"), (3, "  \n\t ", None, "b"), (4, "Under the MIT License, under the mit licence", "en", None), (5, "under THE MIT license", "fr", "b"),
@@ -81,6 +83,28 @@ def test_license_notice_needs_key_phrase():
     assert idx.scan(words)[1] == set()
 
 
+def test_every_key_phrase_alone_gives_its_label():
+    idx = licenses.Index(licenses.BASE + licenses.NOTICES, {}, 10)
+    for t in licenses.BASE + licenses.NOTICES:
+        for key in t.keys:
+            got = idx.scan(licenses.words_of(f"some words, {key.upper()}! and more words".encode()))
+            assert t.label in got[1] and 0 < got[2] <= 1
+            words = key.split()
+            assert t.label not in idx.scan(licenses.words_of(" ".join(words[:-1] + ["x"] + words[-1:]).encode()))[1]
+
+
+def test_labels_by_brute_force(spark):
+    """A label stands where one of its key phrases does, in running words."""
+    idx = licenses.Index(licenses.BASE + licenses.NOTICES, {}, 10)
+    rng = random.Random(12)
+    pool = sorted({w for t in licenses.NOTICES for k in (t.text, *t.keys) for w in k.split()})
+    phrases = [k for t in licenses.BASE + licenses.NOTICES for k in (t.text, *t.keys)]
+    for _ in range(300):
+        words = " ".join(rng.choice([rng.choice(pool), rng.choice(phrases), " ".join(rng.choice(phrases).split()[:-1])]) for _ in range(rng.randint(0, 12)))
+        want = {t.label for t in licenses.BASE + licenses.NOTICES for k in t.keys if f" {k} " in f" {words} "}
+        assert idx.scan(licenses.words_of(words.encode()))[1] == want
+
+
 # ---- 2
 
 
@@ -128,13 +152,18 @@ def test_leaks(spark, edge, none):
         assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == sorted({d for d, _ in docs} - {d for d, _, _ in want})
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(edge, bench.where("false")).count() == 0
     assert decontaminate.find_leaks(edge, bench).count() == 0
+    named = bench.select(F.concat(F.lit("item "), "item_id").alias("item_id"), "text")  # ids of any type
+    got = decontaminate.find_leaks(df.withColumn("doc_id", F.concat(F.lit("doc "), "doc_id")), named, rate=0.08).collect()
+    assert {(r.doc_id, r.item_id, r.errors) for r in got} == {(f"doc {d}", f"item {i}", e) for d, i, e in want}
 
 
 # ---- 3
 
 
 def test_exact_groups(spark, edge, none):
-    for docs, hot in ((edge, 500), (edge, 1), (table(spark, SMALL, "documents"), 500), (table(spark, SMALL, "documents"), 2)):
+    same = edge.unionByName(spark.createDataFrame([(i % 3 or None, "Hot Text" if i % 2 else "hot") for i in range(400)], "doc_id long, text string"), allowMissingColumns=True)
+    small = table(spark, SMALL, "documents")
+    for docs, sample, pieces in ((edge, 10**6, 4), (edge, 10**6, 1000), (small, 10**6, 4), (small, 60, 1000), (same, 10**6, 4), (same, 100, 100)):
         groups = defaultdict(list)
         rows = docs.select("doc_id", "text").collect()
         for r in rows:
@@ -144,8 +173,11 @@ def test_exact_groups(spark, edge, none):
             g = groups[fold(r.text)]
             keep = max((i for i in g if i is not None), default=None)
             want[(r.doc_id, keep, len(g), r.doc_id == keep, hashlib.sha256(fold(r.text).encode()).hexdigest())] += 1
-        got = exact_dedup.exact_groups(docs, hot_rows=hot).collect()
+        got = exact_dedup.exact_groups(docs, sample_rows=sample, pieces=pieces, often=1).collect()
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
+    # A third of all rows is dealt over more places, and as many texts are dealt at most.
+    hot = exact_dedup.hot_texts(same, exact_dedup.normalised(F.col("text")), 10**6, 4, 8).collect()
+    assert sorted(r.salts for r in hot) == [8, 8] and len(hot) <= 4 * 4
     least = {r.keep_id for r in exact_dedup.exact_groups(edge, keep="min").where("doc_id in (1, 2)").collect()}
     assert least == {1}
     assert exact_dedup.exact_groups(none).count() == 0
@@ -161,14 +193,15 @@ def test_quality(spark, edge, none):
     right = np.mean([(r.score >= quality.THRESHOLD) == (r.quality == 1) for r in out])
     assert len(out) > 50 and right > 0.95
     assert np.mean([r.score >= quality.THRESHOLD for r in out if r.quality == 1]) > 0.97
-    scored = quality.score(edge.drop("score"), model)
+    scored = quality.score(edge, model)  # it has a column of that name: replaced
+    assert scored.columns == [c for c in edge.columns if c != "score"] + ["score"]
     got = scored.select("doc_id", "score", "text").collect()
     assert len(got) == len(EDGE) and all(0 <= r.score <= 1 for r in got)
     by = defaultdict(set)
     for r in got:
         by[r.text].add(r.score)
     assert all(len(x) == 1 for x in by.values())
-    assert quality.score(none.drop("score"), model).count() == 0
+    assert quality.score(none, model).count() == 0
     assert quality.train(docs, labels.where("false")).score([b"x"]) == [0.5]
     one = quality.train(docs, labels.where("quality = 1"))
     assert one.weights is None and one.score([b"", b"x"])[0] > 0.9
@@ -176,6 +209,69 @@ def test_quality(spark, edge, none):
     assert quality.train(docs, clash).weights is not None
 
 
+def plain_score(model, text):
+    """The forward pass of one document, passage by passage, in plain numbers."""
+    e, e0, v, u, w, c, b = (np.asarray(p, float) for p in model.weights)
+    x = (np.concatenate([x for _, x in quality.encode([text])]).astype(float) - model.scale[0]) / model.scale[1]
+    hs, logits = [], []
+    for row in x:
+        h = np.array([max(0.0, sum(row[i] * e[i, j] for i in range(len(row))) + e0[j]) for j in range(e.shape[1])])
+        gate = [np.tanh(h @ v[:, g]) * (1 / (1 + np.exp(-(h @ u[:, g])))) for g in range(v.shape[1])]
+        hs.append(h)
+        logits.append(sum(x * y for x, y in zip(gate, w)))
+    weight = np.exp(np.array(logits) - max(logits))
+    weight /= weight.sum()
+    return 1 / (1 + np.exp(-(sum(a * h for a, h in zip(weight, hs)) @ c + b)))
+
+
+def toy_model():
+    rng = random.Random(4)
+    good = [" ".join(rng.choice(("alpha", "beta", "gamma")) for _ in range(rng.randint(5, 300))).encode() for _ in range(40)]
+    bad = [" ".join(rng.choice(("alpha", "||", "!!!", "A1")) for _ in range(rng.randint(5, 300))).encode() for _ in range(40)]
+    bags = [np.concatenate([x for _, x in quality.encode([t])]) for t in good + bad]
+    return quality.Model().fit(bags, np.array([1.0] * 40 + [0.0] * 40, np.float32)), good, bad
+
+
+def test_quality_forward_pass():
+    model, good, bad = toy_model()
+    texts = [*good[:5], *bad[:5], b"", b"x " * 700]
+    assert np.allclose(model.score(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+    assert np.mean(model.score(good) > 0.5) > 0.9 > 0.1 > np.mean(model.score(bad) > 0.5)
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(5)
+    f, hid, gate = 7, 5, 3
+    params = [rng.normal(0, 0.5, d) for d in ((f, hid), (hid,), (hid, gate), (hid, gate), (gate,), (hid,), ())]
+    x, at, y = rng.normal(0, 1, (11, f)), np.array([0, 4, 5]), np.array([1.0, 0.0, 1.0])
+
+    def loss(p):
+        out = quality._forward(p, x, at)[-1]
+        return -np.mean(y * np.log(out) + (1 - y) * np.log(1 - out))
+
+    for i, g in enumerate(quality.gradients(params, x, at, y)):
+        for j in np.ndindex(params[i].shape):
+            up, down = ([q.copy() for q in params] for _ in range(2))
+            up[i][j] += 1e-5
+            down[i][j] -= 1e-5
+            assert np.isclose(np.asarray(g)[j], (loss(up) - loss(down)) / 2e-5, atol=1e-6)
+
+
+def test_quality_sample_is_bounded_and_whole(spark, monkeypatch):
+    rows = [(i, ("good words " if i % 2 else "|| 1 ") * (3000 if i == 8 else 40), i % 2) for i in range(60)] + [(3, "another text of three", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").withColumn("h", F.lit("clash")).withColumn("n", F.lit("clash"))
+    labels = docs.select("doc_id", "quality")
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y: seen.append((bags, y)) or self)
+    quality.train(docs, labels)
+    quality.train(docs, labels, train_docs=7)
+    quality.train(docs, labels, train_bytes=3000)
+    free = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    assert len(seen[0][0]) == len(free) and len(seen[1][0]) == 7
+    assert 0 < sum(map(len, (b for b in seen[2][0]))) and len(seen[2][0]) < len(free)
+    assert (8 in free) == any(len(b) == -(-6000 // quality.PASSAGE_WORDS) for b in seen[0][0])  # whole texts
+
+
 def test_quality_does_not_depend_on_neighbours():
     rng = random.Random(2)
     docs = [b"", b"  a", b"one two three " * 50, b"|a|b| " * 700, "é ü ".encode() * 99, b"x" * 3000] + [bytes(rng.choice(b"abc .,|!A\n") for _ in range(rng.randint(0, 4000))) for _ in range(20)]
@@ -199,38 +295,104 @@ def test_simple8b(n):
         assert np.array_equal(simple8b.decode(simple8b.encode(v), n), v)
 
 
-def test_words_are_encoded_as_whole_texts():
+def test_encoder_gives_what_the_library_gives(monkeypatch):
+    """Fuzz over ASCII, Latin-1, CJK, control characters; also where long texts are handed over in pieces."""
     e = token_output.Encoder(TOKENIZER)
-    odd = ["a\x1cb", "don't I'LL 'tis we're", "x.. y.,z ,.", "İstanbul ΣΣ é x 123abc, 3.14", "ﬁ ǅ straße", "", " .", "é. É, ẞ", "a.b,c x.,y \x85b ª² ½ ßÀÉ", "| a | b%%% c*** 1,000.5", "<|endoftext|> x", "<|ENDOFTEXT|>", "a<|startoftext|>b", "é é ,́", "日本 語。"]
+    assert e.cuts_at_spaces
+    whole = lambda t: e.full.encode(t, add_special_tokens=False).ids
+    odd = ["a\x1cb", "don't I'LL 'tis we're", "x.. y.,z ,.", "İstanbul ΣΣ é x 123abc, 3.14", "ﬁ ǅ straße", "", " .", "é. É, ẞ", "| a | b%%% c*** 1,000.5", "<|endoftext|> x", "<|ENDOFTEXT|>", "a<|startoftext|>b", "é é ,́", "日本 語。"]
+    odd += ["foo_.", "__init__.py", "x_,y", "f(_, x)", "see _this_.", "_ _", "a _b_ c", " 's 'd", "\u0301 \u0301a", "a \u0301"]
+    ascii_, latin = [chr(c) for c in range(32, 127)], [chr(c) for c in range(0, 256)]
     rng = random.Random(4)
-    odd += ["".join(rng.choice("aébZ.,'!? 1\n%s日") for _ in range(40)) for _ in range(200)]
-    assert e.encode(odd) == [e.whole(t) for t in odd]
+    for alphabet in (ascii_, latin, [*ascii_, *"日本語。éΣς\u0301\u2003\u00a0İ"], [*"ab_.,' ", " ", "'s"]):
+        odd += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    assert [x.tolist() for x in e.encode(odd)] == [whole(t) for t in odd]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(token_output, "PIECE_CHARS", size)
+        assert [x.tolist() for x in e.encode(odd)] == [whole(t) for t in odd]
 
 
 def test_token_output(spark, edge, none):
     e = token_output.Encoder(TOKENIZER)
-    rows = sorted((r.doc_id, r.text or "") for r in edge.collect() if r.doc_id is not None)
+    rows = [(r.doc_id, r.text or "") for r in edge.collect()]
     files = token_output.write(edge, TOKENIZER, file_bytes=20_000)
     got = token_output.read_digests(files).collect()
     want, start = Counter(), 0
     for i, t in rows:
-        raw = e.whole(t) + b"\1\0\0\0"
+        raw = np.array([*e.full.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
         want[(i, len(raw) // 4, zlib.crc32(raw))] += 1
         start += len(raw) // 4
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
-    spans = sorted((r.start, r.doc_id, r.n_tokens) for r in got)
+    spans = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got)  # a null id comes first
     assert spans[0][0] == 0 and all(a[0] + a[2] == b[0] and a[1] <= b[1] for a, b in zip(spans, spans[1:])) and spans[-1][0] + spans[-1][2] == start
     assert token_output.read_digests(token_output.write(none, TOKENIZER)).count() == 0
+    twice = spark.createDataFrame([(i % 3, f"text {i} " * i) for i in range(60)], "doc_id long, text string")
+    digests = [sorted(map(tuple, token_output.read_digests(token_output.write(d, TOKENIZER)).collect())) for d in (twice, twice.repartition(7))]
+    assert digests[0] == digests[1]  # rows of one id have an order of their own
+
+
+def test_files_of_empty_texts_stay_small():
+    w = simple8b.Writer()
+    while w.bytes < 1 << 20:
+        w.add(None, np.array([1]))
+    assert len(w.docs) < 70_000
+    out = io.BytesIO()
+    w.write(out)
+    out.seek(0)
+    assert all(i is None and ids.tolist() == [1] for i, ids in simple8b.read(out))
 
 
 # ---- 6
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == [200, 500 / 6 * 2, 500 / 6] or sum(mixing.targets([100, 100, 100])) == pytest.approx(450)
-    t = mixing.targets([10, 1000, 1000, 1000])
-    assert t[0] == 20 and sum(t) == pytest.approx(1.5 * 3010) and all(x <= 2 * s + 1e-9 for x, s in zip(t, [10, 1000, 1000, 1000]))
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
+def plain_targets(sizes, share=1.5, most=2.0, weights=(5.0, 2.0, 1.0)):
+    """Shares by weight; those above their limit are cut, and the excess goes to the others by weight, until none is above."""
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    out, full = [0.0] * len(sizes), set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in full]
+        left = share * sum(sizes) - sum(most * sizes[i] for i in full)
+        out = [most * sizes[i] if i in full else left * w[i] / sum(w[j] for j in free) for i in range(len(sizes))]
+        over = {i for i in free if out[i] > most * sizes[i]}
+        if not over:
+            return out
+        full |= over
+
+
+def test_targets(spark):
+    rng = random.Random(3)
+    cases = [[100, 100, 100], [10, 1000, 1000, 1000], [], [0, 0], [0, 5, 0, 9], [10**12, 1, 1], [rng.choice((0, 1, 30, 5000)) for _ in range(50)], [7]]
+    for sizes in cases:
+        names = [f"s{i:03d}" for i in range(len(sizes) - 1)] + [None]
+        rows = list(zip(names, sizes))
+        rng.shuffle(rows)
+        got = sorted(mixing.targets(spark.createDataFrame(rows, "source string, size long")).collect(), key=lambda r: r.k)
+        assert [r.k for r in got] == list(range(len(sizes))) and [r.source for r in got] == names[: len(sizes)]
+        assert [r.target for r in got] == pytest.approx(plain_targets(sizes))
+    points = ["é", "z", "Z", "", "日本", "zz", "\U0001f600", "\uffee"]
+    got = mixing.targets(spark.createDataFrame([(p, 1) for p in points], "source string, size long")).orderBy("k").collect()
+    assert [r.source for r in got] == sorted(points)  # by code point
+
+
+def test_landing_is_near_the_best():
+    """The landing's words against the best choice of documents, by trying all."""
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        size = rng.integers(1, 50, 8).astype(float)
+        p = rng.random(8)
+        q = mixing.landing(p, size, np.random.default_rng(_))
+        want = (p * size).sum()
+        assert min(abs((np.array(x) * size).sum() - want) for x in itertools.product((0, 1), repeat=8)) <= abs((q * size).sum() - want) + 1e-6 <= size.max() + 1e-6
+
+
+def test_repeated_ids_do_not_make_large_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, "two words", "a")] * 500 + [(i, "x " * (i % 9), "b") for i in range(200)], "doc_id long, text string, source string")
+    seen = []
+    for n in (1, 3):
+        out = mixing.mix(docs.repartition(n), block=16).collect()
+        seen.append(Counter((r.doc_id, r.taken) for r in out))
+        assert len(out) == 700 and abs(sum(r.taken for r in out if r.doc_id == 7 and r.source_size == 1000) - next(r.target for r in out if r.source_size == 1000)) <= 40
+    assert seen[0] == seen[1]
 
 
 def test_flight_keeps_totals():
@@ -279,7 +441,45 @@ def test_language(spark, edge, none):
     assert langid.train(docs.where("lang = 'en'")).predict("x y")[0] == "en"
 
 
+def plain_decode(model, text):
+    """Loss-weighted decoding, one codeword and one bit at a time."""
+    f = (langid.profile(text).astype(float) - model.mean) * 20 @ model.w + model.b
+    loss = [sum(t * np.log1p(np.exp(-c * x)) for t, c, x in zip(trust, word, f)) for trust, word in zip(model.trust, model.code)]
+    near = [np.exp(min(loss) - x) for x in loss]
+    first, second = sorted(near)[::-1][:2]
+    return model.langs[loss.index(min(loss))], first / sum(near), second > 0.8 * first
+
+
+def test_decoding_by_brute_force(spark):
+    docs = table(spark, SMALL, "documents")
+    model = langid.train(docs)
+    texts = [r.text for r in docs.collect() if langid.has_letter(r.text)][:60] + ["x", "de la der the", "é"]
+    for t in texts:
+        got, want = model.predict(t), plain_decode(model, t)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-5) and got[2] == want[2]
+
+
+def test_language_sample(spark):
+    """Rows are learned from, not ids: only with a language, equal ones once, each with its own; the bound holds."""
+    free = next(i for i in range(1, 50) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(free, f"text {i}", "en" if i % 2 else "de") for i in range(16)] + [(free, f"null {i}", None) for i in range(500)] + [(free, "text 1", "en")] * 300
+    held = next(i for i in range(1, 50) if not zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame([*rows, (held, "held out", "fr"), (None, "no id", "fr")], "doc_id long, text string, lang string").repartition(4)
+    for c in ("i", "t", "l", "h", "k", "n", "most"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = langid.training_rows(docs, train_docs=10).collect()
+    assert len(got) == 10 and Counter(r.l for r in got) == {"en": 5, "de": 5}
+    assert all((r.i, r.t, r.l) in rows for r in got)
+    assert {tuple(r) for r in langid.training_rows(docs.repartition(2), train_docs=10).collect()} == {tuple(r) for r in got}
+    assert sorted(map(tuple, langid.training_rows(docs).collect())) == sorted({r for r in rows if r[2]})
+    many = spark.createDataFrame([(i, f"t {i}", f"l{i % 40}") for i in range(400)], "doc_id long, text string, lang string")
+    assert Counter(Counter(r.l for r in langid.training_rows(many, train_docs=7).collect()).values()) == {1: 40}
+
+
 def test_codewords():
+    far = lambda code: min((a != b).sum() for a, b in itertools.combinations(code, 2))
+    assert all(langid._least_distance(langid.codewords(k)) == far(langid.codewords(k)) for k in (3, 7, 20))
+    assert langid.codewords(3000).shape[0] == 3000
     for k in (2, 3, 5, 12):
         code = langid.codewords(k)
         assert len({tuple(r) for r in code.tolist()}) == k
@@ -311,10 +511,48 @@ def test_warc(spark):
     gone = index.first().file
     fs.delete_file(f"{root}/{gone}")
     assert warc.audit(index, path, lost).count() == index.where(F.col("file") == gone).count()
+    more = warc.copy(path, index)  # bytes after the last record, and a file more
+    fs, root = warc.pafs.FileSystem.from_uri(more)
+    junk = warc._load(more, gone) + b"junk"
+    with fs.open_output_stream(f"{root}/{gone}", compression=None) as f:
+        f.write(junk)
+    with fs.open_output_stream(f"{root}/zz.warc.gz", compression=None) as f:
+        f.write(b"more")
+    after = index.where(F.col("file") == gone).count()
+    assert sorted((x.file, x.seq, x.hash_one is None) for x in warc.audit(index, path, more, fanout=3).collect()) == sorted([(gone, after, False), ("zz.warc.gz", 0, True)])
     path, index = warc.write(pages.where("false"))
     assert warc.audit(index, path, warc.copy(path, index)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 15, 16, 17, 300])
+def test_tree_by_hashlib(n):
+    """Every level and root again, from the definition."""
+    rng = random.Random(n)
+    parts = [rng.randbytes(rng.randint(0, 9)) for _ in range(n)]
+    recs, at = [], 0
+    for p in parts:
+        recs.append((at, len(p)))
+        at += len(p)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    level = [sha(o.to_bytes(8, "little") + k.to_bytes(8, "little") + p) for (o, k), p in zip(recs, parts)]
+    level.append(sha(at.to_bytes(8, "little") + (4).to_bytes(8, "little") + b"tail"))
+    for got in warc.tree(b"".join(parts) + b"tail", recs, 4):
+        assert got == level
+        level = [sha("".join(level[i : i + 4]).encode()) for i in range(0, len(level), 4)]
+    assert len(got) == 1
+
+
+def test_descent_reads_only_below_what_differs(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i % 50)) for i in range(200)], "page_id long, url string, html string").withColumn("node", F.lit("x")).withColumn("hash", F.lit("y")).withColumn("i", F.lit(1))
+    path, index = warc.write(pages.coalesce(1))
+    hurt = warc.copy(path, index, lambda i, b: b[:-1] + b"?" if i == 77 else b)
+    sizes = []
+    real = warc.written
+    monkeypatch.setattr(warc, "written", lambda df, name, by=None: (out := real(df, name, by), sizes.append((name, out.count())))[0])
+    assert [x.seq for x in warc.audit(index, path, hurt, fanout=4).collect()] == [77]
+    assert [n for name, n in sizes if name in ("warc-roots", "warc-wrong")] == [1] * 5  # one node a level, of 201 leaves
+
+
 def test_warc_query(spark):
     got = QUERIES["op8_warc_fixity"](spark, SMALL).collect()
     assert len(got) == table(spark, SMALL, "pages").count()
@@ -329,8 +567,9 @@ def test_lines(spark, edge, none):
     for d in range(40):
         lines = [f"own {d}", "  all sites ", "", "nine sites" if d % 10 < 9 else "x", "ten sites", None and "y"]
         rows.append((d, "\n".join(filter(lambda x: x is not None, lines)), f"s{d % 10}" if d % 10 or d else None))
-    rows += [(40, None, "s1"), (41, "", "s1"), (0, rows[0][1], None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_drop", F.lit(1)).withColumn("h", F.lit(2))
+    rows += [(40, None, "s1"), (41, "", "s1"), (0, rows[0][1], None), (1, "ten sites\nten sites\n\nother", "s1"), (None, "ten sites", "s2"), (None, "x\nten sites\ny", "s2"), (None, "ten sites", "s3")]
+    rows += [(42, "\n".join(["ten sites", "mine"] * 20_000), "s4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_drop", F.lit(1)).withColumn("h", F.lit(2)).withColumn("n", F.lit(2)).withColumn("n_lines", F.lit("old"))
     for threshold in (10, 11, 2):
         sites = defaultdict(set)
         for _, t, s in rows:
@@ -345,7 +584,7 @@ def test_lines(spark, edge, none):
         got = line_dedup.remove_boilerplate(docs, min_sites=threshold).collect()
         assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got) == want
     assert line_dedup.remove_boilerplate(none).count() == 0
-    assert line_dedup.remove_boilerplate(edge).columns[: len(edge.columns)] == edge.columns and line_dedup.remove_boilerplate(edge).count() == len(EDGE)
+    assert line_dedup.remove_boilerplate(edge).columns == [c for c in edge.columns if c[:2] != "n_" or c == "n_chars"] + ["n_lines", "n_removed"] and line_dedup.remove_boilerplate(edge).count() == len(EDGE)
 
 
 # ---- 10
