@@ -3,6 +3,14 @@
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame, which is written as Parquet and read again as the next
 one's ``docs``.  All but the last return the columns of ``documents``.
+
+Rows are told apart by id and text.  Edge cases, in every stage: a null text
+counts as empty (the first stage scores it, near copies are one group, it holds
+no test item, the mix never takes it as its size is 0); a null id comes after
+all others among near copies and before them in the files, and is decided as any
+other; rows that repeat an id with other texts are decided one by one, equal
+rows are one; an empty table gives an empty one; further columns pass through
+unless the stages' own names (``__pipeline_..__``) clash with them.
 """
 
 from __future__ import annotations
@@ -12,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempolog.llm import decontaminate, mixing, quality, simhash, token_output
-from tempolog.llm.common import table, written
+from tempolog.llm.common import release, scratch, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: Names that no input has.
-SCORE, COPIES, TEXT = "__pipeline_score__", "__pipeline_copies__", "__pipeline_text__"
+SCORE, COPIES, TEXT, HASH, ID, ROW = (f"__pipeline_{x}__" for x in ("score", "copies", "text", "hash", "id", "row"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,20 +34,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row stays, of those with the smallest id; rows without an id stay.
+    """Of each group of near copies one row stays, of those with the smallest id (null last).
 
     Rows are told apart by id and text: rows of one id whose texts are not near copies all stay.
     """
     found = written(simhash.near_copies(docs), "near-components")
-    gone = found.where("doc_id <> component_id or text_hash <> component_hash").select("doc_id", F.col("text_hash").alias(TEXT)).distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    gone = found.where(~stays).select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH)).distinct()
+    keyed = docs.withColumn(TEXT, F.xxhash64(F.coalesce("text", F.lit(""))))
     # The list grows with the documents: the same join at every size, never a broadcast that fits only small inputs.
-    kept = docs.withColumn(TEXT, F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", TEXT], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id", "text_hash").count().where("count > 1").head(1):
+    kept = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(TEXT) == F.col(HASH)), "left_anti")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").head(1):
         # Repeated rows of one id and text: the first of them in order of the other columns stays.
-        named, rest = kept.where("doc_id is not null"), kept.where("doc_id is null")
-        others = [c for c in docs.columns if c != "doc_id"]
-        named = named.groupBy("doc_id", TEXT).agg(F.min(F.struct(*others)).alias("_r")).select("doc_id", "_r.*").select(docs.columns)
-        kept = named.unionByName(rest.select(docs.columns))
+        kept = kept.groupBy("doc_id", TEXT).agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias(ROW)).select("doc_id", f"{ROW}.*")
     return kept.select(docs.columns)
 
 
@@ -49,11 +56,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice; rows of one id with differing texts each for themselves."""
-    docs_ = docs.withColumn(TEXT, F.xxhash64("text"))
-    copies = mixing.mix(docs_, key=TEXT).where("doc_id is not null and copies > 0").groupBy("doc_id", F.col("key").alias(TEXT)).agg(F.max("copies").alias(COPIES))
-    taken = docs_.join(copies, ["doc_id", TEXT])
-    return taken.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES).cast("int")))).select(docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice; rows equal in id and text as often as the most taken of them."""
+    keyed = docs.withColumn(TEXT, F.xxhash64("text"))
+    copies = mixing.mix(keyed, key=TEXT).where("copies > 0").groupBy(F.col("doc_id").alias(ID), F.col("key").alias(HASH)).agg(F.max("copies").cast("int").alias(COPIES))
+    taken = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(TEXT) == F.col(HASH)))
+    return taken.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,5 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as keep:  # a stage's own tables go once its result is written
+            before, docs = docs, keep(written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-")))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
