@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, map_arrow, release, texts, written
@@ -323,6 +323,13 @@ def _wider_keys(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _to_least(edges: DataFrame) -> DataFrame:
+    """Links that connect the same: each id keeps the least of those it links with (one a key at most), which the others link with instead."""
+    least = F.min("b").over(Window.partitionBy("a"))
+    one = edges.distinct().withColumn("m", least)
+    return one.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+
+
 def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_PAIRED) -> DataFrame:
     """``a, b`` (ids, a > b) that connect the fingerprints of ``nodes`` (``lo, hi`` distinct, ``id``) that share a key and are near.
 
@@ -345,32 +352,33 @@ def wide_links(nodes: DataFrame, most: int = NEAR_BITS, most_paired: int = MOST_
         key, lo, hi = columns(batch, "key", "lo", "hi")
         rows, keys = _wider_keys(key, lo.view(np.uint64), hi.view(np.uint64))
         rows = pa.array(rows)
-        return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in ("lo", "hi", "id", "minor"))], ["key", "lo", "hi", "id", "minor"])
+        return pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(k).take(rows) for k in ("lo", "hi", "root", "minor"))], ["key", "lo", "hi", "root", "minor"])
 
     keyed = map_arrow(nodes.select("lo", "hi", "id"), each, "key long, lo long, hi long, id long")
     # Keys with more members than are compared in one piece: few, and a table of their own.
     hot = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_paired).select("key"), "near-hot")
     if not hot.head(1):
-        return _forest(keyed, most).distinct()
+        return _to_least(_forest(keyed, most))
     large = written(keyed.join(hot, "key", "left_semi"), "near-large")
     leaders = large.groupBy("key").agg(F.min(F.struct("id", "lo", "hi")).alias("l")).select("key", F.col("l.id").alias("l_id"), F.col("l.lo").alias("l_lo"), F.col("l.hi").alias("l_hi"))
 
     def near(other: str):
         return (F.bit_count(F.col("lo").bitwiseXOR(F.col(f"{other}_lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col(f"{other}_hi")))) <= most
 
-    star = large.join(leaders, "key").where(near("l") & (F.col("id") > F.col("l_id"))).select(F.col("id").alias("a"), F.col("l_id").alias("b"))
-    found = written(_forest(keyed.join(hot, "key", "left_anti"), most).unionByName(star).distinct(), "near-links")
+    star = large.join(leaders, "key").where(near("l") & (F.col("id") > F.col("l_id"))).select(F.col("id").alias("a"), F.col("l_id").alias("b")).distinct()
+    found = written(_to_least(_forest(keyed.join(hot, "key", "left_anti"), most).unionByName(star)), "near-links")
     roots = written(components(found), "near-roots")
     # What is not of the leader's component yet meets the members; what is has no need to meet its own.
     rooted = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     l_root = leaders.select("key", "l_id").join(roots, F.col("l_id") == F.col("id"), "left").select("key", F.coalesce("root", "l_id").alias("l_root"))
     marked = rooted.join(l_root, "key").withColumn("minor", F.col("root") != F.col("l_root"))
     open_ = marked.where("minor").select("key").distinct()
-    longer = written(map_arrow(marked.join(open_, "key", "left_semi").select("key", "lo", "hi", "id", "minor"), wider, "key long, lo long, hi long, id long, minor boolean"), "near-longer")
-    minor = longer.where("minor").select("key", F.col("id").alias("m_id"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi"))
-    # A pair of two that are minor is met once.
-    cross = longer.join(minor, "key").where((~F.col("minor") | (F.col("id") > F.col("m_id"))) & near("m")).select(F.greatest("id", "m_id").alias("a"), F.least("id", "m_id").alias("b"))
-    return found.unionByName(cross.distinct()).distinct()
+    longer = written(map_arrow(marked.join(open_, "key", "left_semi").select("key", "lo", "hi", "root", "minor"), wider, "key long, lo long, hi long, root long, minor boolean"), "near-longer")
+    minor = longer.where("minor").select("key", F.col("root").alias("m_root"), F.col("lo").alias("m_lo"), F.col("hi").alias("m_hi"))
+    # Only what is not connected yet; a pair of two that are minor is met once.
+    cross = longer.join(minor, "key").where((F.col("root") != F.col("m_root")) & (~F.col("minor") | (F.col("root") > F.col("m_root"))) & near("m"))
+    cross = cross.select(F.greatest("root", "m_root").alias("a"), F.least("root", "m_root").alias("b")).distinct()
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(cross).distinct()
 
 
 # ---- near copies: links verified by five-word shingles
