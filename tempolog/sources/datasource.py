@@ -3,18 +3,31 @@
 Options: ``path`` (files or folders, comma-separated), ``relation`` (default
 ``messages``), ``topics`` (comma-separated), ``start`` and ``end`` (nanoseconds),
 ``payload`` (``false`` leaves payloads out), ``validateCrc``,
-``recordLengthLimit``, ``mode`` (``PERMISSIVE`` salvages), ``partitionBytes``,
-``maxScanBytes`` (a scan that would read more is an error).
-
-With ``spark.sql.python.filterPushdown.enabled`` comparisons on ``log_time``
-and equality or IN on ``topic`` prune chunks before a task is made; Spark still
-checks them.  A file without a usable index is read through by one task.
+``recordLengthLimit``, ``maxDecompressedSize``, ``mode`` (``PERMISSIVE``
+salvages), ``emitInvalidChunks`` (rows of chunks whose checksum differs),
+``dropUndefined`` (messages whose channel is not defined before them go),
+``partitionBytes``, ``planFiles``, ``maxScanBytes`` (a scan that would read more
+is an error), ``codecs`` (modules to import on executors; they register codecs).
+Writing: ``relation`` (messages, attachments or metadata), ``compression``,
+``compressionLevel``, ``maxFileMessages`` and ``maxFileBytes`` (a task goes on in
+a further file), and the switches of :class:`.records.WriteOptions`.
+
+With ``spark.sql.python.filterPushdown.enabled`` comparisons on ``log_time`` and
+equality or IN on ``topic``, ``chunk_offset`` and ``msg_offset`` prune chunks and
+messages; Spark still checks them.  Up to ``planFiles`` files are planned chunk by
+chunk from their indexes; of more only names and sizes are listed, and each task
+reads the index of its file and takes the chunks that begin in its byte range.  A
+file without a usable index is read through by one task.  Attachments, metadata
+and message indexes are read by offset where the index has them all.
 """
 
 from __future__ import annotations
 
+import importlib
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,16 +49,20 @@ RELATIONS = {
     "summary_offsets": "file string, group_opcode int, group_start bigint, group_length bigint", "records": "file string, opcode int, kind string, in_chunk boolean, chunk_offset bigint, `offset` bigint, length bigint",
     "raw_records": "file string, opcode int, `offset` bigint, data binary", "problems": "file string, problem string",
 }
+RELATIONS["recovery"] = "file string, kind string, recovered bigint, discarded bigint, truncated boolean"
 #: Relations that the index alone answers.
 FROM_SUMMARY = ("summary_channels", "summary_schemas", "chunk_index", "attachment_index", "statistics", "header", "footer", "summary_offsets")
 
 
 @dataclass
 class Part(InputPartition):
+    """``chunks`` of a file, all of it (None), or the chunks that begin in a ``span`` of bytes."""
+
     path: str
     chunks: list[dict] | None
     channels: dict[int, dict] | None = None
     schemas: dict[int, dict] | None = None
+    span: tuple[int, int] | None = None
 
     def __post_init__(self):
         super().__init__(self.path)
@@ -66,6 +83,19 @@ class Options:
         self.lenient = str(get("mode", "FAILFAST")).upper() == "PERMISSIVE"
         self.part_bytes = int(get("partitionBytes", 32 << 20))
         self.max_scan = int(get("maxScanBytes", 0))
+        self.plan_files = int(get("planFiles", 256))
+        flag = lambda k: str(get(k, "false")).lower() == "true"
+        self.emit_invalid, self.drop_undefined = flag("emitInvalidChunks"), flag("dropUndefined")
+        self.max_open = int(get("maxDecompressedSize", 0)) or None
+        self.chunk_offsets = self.msg_offsets = None
+        self.codecs = [m for m in get("codecs", "").split(",") if m]
+
+    def load_codecs(self) -> None:
+        for module in self.codecs:
+            importlib.import_module(module)
+
+    def scan(self, data: bytes, lenient=None):
+        return r.scan(data, self.crc and not self.emit_invalid, self.limit, lenient, self.max_open)
 
 
 def _i64(v: int, name: str) -> int:
@@ -93,32 +123,46 @@ class LogReader(DataSourceReader):
             if o.relation == "messages" and column == ("topic",) and isinstance(f, (EqualTo, In)):
                 some = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 o.topics = some if o.topics is None else o.topics & some
+            if o.relation == "messages" and column in (("chunk_offset",), ("msg_offset",)) and isinstance(f, (EqualTo, In)):
+                name = column[0] + "s"
+                some = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                setattr(o, name, some if getattr(o, name) is None else getattr(o, name) & some)
             yield f  # Spark checks it again
 
     # ---- planning on the driver
 
     def partitions(self):
+        o = self.o
+        o.load_codecs()
+        found = files.listed(o.path)
+        if len(found) > o.plan_files and not o.max_scan:
+            return self._splits()
         out, total = [], 0
-        for path in files.listed(self.o.path):
+        for path in found:
             parts = self._plan(path)
             total += sum(sum(c["chunk_length"] for c in p.chunks) if p.chunks is not None else self._size for p in parts)
             out += parts
-        if self.o.max_scan and total > self.o.max_scan:
-            raise LogError(f"the scan would read {total} bytes; maxScanBytes is {self.o.max_scan}")
+        if o.max_scan and total > o.max_scan:
+            raise LogError(f"the scan would read {total} bytes; maxScanBytes is {o.max_scan}")
         return out or [Part("", [])]
 
-    def _plan(self, path: str) -> list[Part]:
+    def _splits(self) -> list[Part]:
+        """By name and size alone: nothing is opened here."""
+        step = self.o.part_bytes
+        whole = self.o.relation != "messages" or self.o.lenient
+        return [Part(p, None, span=None if whole else (at, at + step)) for p, size in files.sized(self.o.path) for at in ([0] if whole else range(0, max(1, size), step))]
+
+    def _index(self, path: str) -> tuple[r.Summary | None, list[dict] | None]:
+        """The summary, and the chunks that may have rows; None for the latter where the file must be read through."""
         o = self.o
         f, self._size = files.open_random(path)
         with f:
-            if o.relation != "messages" or o.lenient:
-                return [Part(path, None)]
             try:
                 s = r.read_summary(f, self._size)
             except LogError:
                 s = None
         if s is None or not s.proves_complete or sum(s.statistics["channel_message_counts"].values()) != s.statistics["message_count"]:
-            return [Part(path, None)]
+            return s, None
         ids = None if o.topics is None else {i for i, c in s.channels.items() if c["topic"] in o.topics}
         kept = []
         for c in s.chunks:
@@ -126,10 +170,23 @@ class LogReader(DataSourceReader):
                 continue
             if ids is not None and c["message_index_offsets"] and not ids & c["message_index_offsets"].keys():
                 continue
+            if o.chunk_offsets is not None and c["chunk_offset"] not in o.chunk_offsets:
+                continue
             kept.append(c)
+        return s, sorted(kept, key=lambda c: c["chunk_offset"])
+
+    def _plan(self, path: str) -> list[Part]:
+        o = self.o
+        if o.relation != "messages" or o.lenient:
+            f, self._size = files.open_random(path)
+            f.close()
+            return [Part(path, None)]
+        s, kept = self._index(path)
+        if kept is None:
+            return [Part(path, None)]
         out: list[Part] = []
         room = 0
-        for c in sorted(kept, key=lambda c: c["chunk_offset"]):
+        for c in kept:
             if room < c["chunk_length"] or not out:
                 out.append(Part(path, [], s.channels, s.schemas))
                 room = o.part_bytes
@@ -143,9 +200,15 @@ class LogReader(DataSourceReader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(self.schema)
+        self.o.load_codecs()
+        if not partition.path:
+            return
+        if self.o.relation == "messages":
+            yield from self._message_batches(partition, arrow)
+            return
         rows, size = [], 0
-        for row in self._rows(partition) if partition.path else ():
-            rows.append(row)
+        for row in relation(partition.path, self.o):
+            rows.append({k: v for k, v in row.items() if k in self.names})
             size += len(row.get("data") or b"") + 100
             if len(rows) >= 10_000 or size > 8 << 20:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -153,65 +216,133 @@ class LogReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    def _rows(self, p: Part) -> Iterator[dict]:
-        if self.o.relation == "messages":
-            yield from self._messages(p)
-        else:
-            for row in relation(p.path, self.o):
-                yield {k: v for k, v in row.items() if k in self.names}
-
-    def _message(self, p: Part, body: memoryview, chunk: int, at: int, channels: dict, schemas: dict, pos: int) -> dict | None:
-        # the fixed head first: payloads of rows that go are never copied
-        cid, seq, log, pub = int.from_bytes(body[:2], "little"), int.from_bytes(body[2:6], "little"), int.from_bytes(body[6:14], "little"), int.from_bytes(body[14:22], "little")
+    def _message_batches(self, p: Part, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Messages as columns: numbers and payloads in lists, what depends on the channel by number of the channel."""
+        views: list[tuple] = []  # one for each channel seen: what its messages have in common
+        number: dict[tuple, int] = {}
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            which, cid, seq, log, pub, data, chunk, at, pos = zip(*held)
+            take = pa.array(which, pa.int32())
+            own = {"channel_id": cid, "sequence": seq, "log_time": log, "publish_time": pub, "data": data, "chunk_offset": chunk, "msg_offset": at, "file_pos": pos}
+            shared = {"topic": 0, "schema_id": 1, "schema_name": 2, "schema_encoding": 3, "message_encoding": 4}
+            cols = []
+            for f in arrow:
+                if f.name in own:
+                    cols.append(pa.array(own[f.name], f.type))
+                elif f.name in shared:
+                    cols.append(pa.array([v[shared[f.name]] for v in views], f.type).take(take))
+                else:
+                    cols.append(pa.array([p.path], f.type).take(pa.array([0] * len(held), pa.int32())))
+            return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+        for cid, seq, log, pub, data, view, chunk, at, pos in self._messages(p):
+            n = number.get(view)
+            if n is None:
+                n = number[view] = len(views)
+                views.append(view)
+            held.append((n, cid, seq, log, pub, data, chunk, at, pos))
+            size += 100 + (len(data) if data is not None else 0)
+            if len(held) >= 10_000 or size > 8 << 20:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def _view(self, path: str, cid: int, channels: dict, schemas: dict) -> tuple | None:
+        """What all messages of a channel share; None for those that go."""
         o = self.o
-        if log < o.start or (o.end is not None and log >= o.end):
-            return None
         c = channels.get(cid)
         if c is None:
-            if o.lenient:
+            if o.lenient or o.drop_undefined:
                 return None
-            raise LogError(f"{p.path}: message of unknown channel {cid}")
+            raise LogError(f"{path}: message of unknown channel {cid}")
         if o.topics is not None and c["topic"] not in o.topics:
             return None
         s = schemas.get(c["schema_id"])
         if s is None and c["schema_id"] and not o.lenient:
-            raise LogError(f"{p.path}: channel {cid} has unknown schema {c['schema_id']}")
-        return {
-            "file": p.path, "channel_id": cid, "topic": c["topic"], "schema_id": c["schema_id"], "schema_name": s and s["name"], "schema_encoding": s and s["encoding"], "message_encoding": c["message_encoding"],
-            "sequence": seq, "log_time": _i64(log, "log_time"), "publish_time": _i64(pub, "publish_time"), "data": bytes(body[22:]) if o.payload else None, "chunk_offset": chunk, "msg_offset": at, "file_pos": pos,
-        }
-
-    def _messages(self, p: Part) -> Iterator[dict]:
-        if p.chunks is None:
-            data = files.read_all(p.path)
-            # definitions may follow their use: a first pass gathers them
-            schemas, channels = {}, {}
-            for op, _, _, body in r.scan(data, self.o.crc, self.o.limit, _quiet if self.o.lenient else None):
-                if op in (r.SCHEMA, r.CHANNEL):
-                    v = r.decode(op, body)
-                    known = schemas if op == r.SCHEMA else channels
-                    if known.setdefault(v["id"], v) != v and not self.o.lenient:
-                        raise LogError(f"{p.path}: {r.NAMES[op]} {v['id']} is defined twice, differently")
-            for pos, (op, chunk, at, body) in enumerate(r.scan(data, self.o.crc, self.o.limit, _quiet if self.o.lenient else None)):
-                if op == r.MESSAGE and (row := self._message(p, body, chunk if chunk >= 0 else at, at if chunk >= 0 else 0, channels, schemas, pos)):
-                    yield row
+            raise LogError(f"{path}: channel {cid} has unknown schema {c['schema_id']}")
+        return c["topic"], c["schema_id"], s and s["name"], s and s["encoding"], c["message_encoding"]
+
+    def _message(self, path: str, body: memoryview, chunk: int, at: int, views: dict, channels: dict, schemas: dict, pos: int) -> tuple | None:
+        # the fixed head first: payloads of rows that go are never copied
+        o = self.o
+        cid, seq, log, pub = _MESSAGE_HEAD.unpack_from(body)
+        if log < o.start or (o.end is not None and log >= o.end) or (o.msg_offsets is not None and at not in o.msg_offsets) or (o.chunk_offsets is not None and chunk not in o.chunk_offsets):
+            return None
+        if cid not in views:
+            views[cid] = self._view(path, cid, channels, schemas)
+        view = views[cid]
+        if view is None:
+            return None
+        return cid, seq, _i64(log, "log_time"), _i64(pub, "publish_time"), bytes(body[22:]) if o.payload else None, view, chunk, at, pos
+
+    def _messages(self, p: Part) -> Iterator[tuple]:
+        chunks, channels, schemas = p.chunks, p.channels, p.schemas
+        if p.span is not None:
+            s, kept = self._index(p.path)
+            if kept is not None:
+                chunks, channels, schemas = [c for c in kept if p.span[0] <= c["chunk_offset"] < p.span[1]], s.channels, s.schemas
+            elif p.span[0]:
+                return  # the first span reads a file without an index
+        if chunks is None:
+            yield from self._through(p.path)
             return
-        if not p.chunks:
+        if not chunks:
             return
         f, _ = files.open_random(p.path)
         with f:
-            for c in p.chunks:
+            for c in chunks:
                 f.seek(c["chunk_offset"])
                 raw = f.read(c["chunk_length"])
-                data = r.open_chunk(r.decode(r.CHUNK, memoryview(raw)[9:]), self.o.crc)
-                channels, schemas = p.channels, p.schemas
+                data = r.open_chunk(r.decode(r.CHUNK, memoryview(raw)[9:]), self.o.crc and not self.o.emit_invalid, self.o.max_open)
+                known, named, views = channels, schemas, {}
                 for pos, (op, at, body) in enumerate(r.split(data, 0, self.o.limit)):
-                    if op == r.CHANNEL and (v := r.decode(op, body))["id"] not in channels:
-                        channels = channels | {v["id"]: v}
-                    elif op == r.SCHEMA and (v := r.decode(op, body))["id"] not in schemas:
-                        schemas = schemas | {v["id"]: v}
-                    elif op == r.MESSAGE and (row := self._message(p, body, c["chunk_offset"], at, channels, schemas, pos)):
-                        yield row
+                    if op == r.MESSAGE:
+                        if row := self._message(p.path, body, c["chunk_offset"], at, views, known, named, pos):
+                            yield row
+                    elif op == r.CHANNEL and (v := r.decode(op, body))["id"] not in known:
+                        known = known | {v["id"]: v}
+                        views.pop(v["id"], None)
+                    elif op == r.SCHEMA and (v := r.decode(op, body))["id"] not in named:
+                        named = named | {v["id"]: v}
+
+    def _through(self, path: str) -> Iterator[tuple]:
+        """A file without an index; definitions may follow their use, so a first pass gathers them (unless such messages are to go)."""
+        o = self.o
+        data = files.read_all(path)
+        quiet = _quiet if o.lenient else None
+        schemas: dict[int, dict] = {}
+        channels: dict[int, dict] = {}
+
+        def define(op: int, body: memoryview) -> None:
+            try:
+                v = r.decode(op, body)
+            except LogError:
+                if not o.lenient:
+                    raise
+                return
+            known = schemas if op == r.SCHEMA else channels
+            if known.setdefault(v["id"], v) != v and not o.lenient:
+                raise LogError(f"{path}: {r.NAMES[op]} {v['id']} is defined twice, differently")
+
+        if not o.drop_undefined:
+            for op, _, _, body in o.scan(data, quiet):
+                if op in (r.SCHEMA, r.CHANNEL):
+                    define(op, body)
+        views: dict[int, tuple | None] = {}
+        for pos, (op, chunk, at, body) in enumerate(o.scan(data, quiet)):
+            if op == r.MESSAGE and len(body) >= 22:
+                if row := self._message(path, body, chunk if chunk >= 0 else at, at if chunk >= 0 else 0, views, channels, schemas, pos):
+                    yield row
+            elif op in (r.SCHEMA, r.CHANNEL) and o.drop_undefined:
+                define(op, body)
+                views = {}
+
+
+_MESSAGE_HEAD = struct.Struct("<HIQQ")
 
 
 def _quiet(problem: str) -> None:
@@ -233,14 +364,26 @@ def relation(path: str, o: Options) -> Iterator[dict]:
             return
         if name != "footer":
             return
+    if name == "recovery":
+        yield from recovery(path, o)
+        return
+    if name in ("attachments", "metadata", "message_index") and not o.lenient and (got := _by_offset(path, name, o)) is not None:
+        yield from got
+        return
     problems: list[str] = []
     data = files.read_all(path)
     in_data = True
     chunk = -1
-    for pos, (op, c, at, body) in enumerate(r.scan(data, o.crc, o.limit, problems.append if o.lenient or name == "problems" else None)):
+    for pos, (op, c, at, body) in enumerate(o.scan(data, problems.append if o.lenient or name == "problems" else None)):
         if op == r.DATA_END:
             in_data = False
         base = {"file": path, "file_pos": pos}
+        if o.lenient and op in r.FIELDS and name not in ("records", "raw_records"):
+            try:
+                r.decode(op, body)
+            except (LogError, UnicodeDecodeError) as e:
+                problems.append(f"{r.NAMES[op]} at {at}: {e}")
+                continue
         if name == "records":
             yield {"file": path, "opcode": op, "kind": r.NAMES.get(op, "private" if op >= 0x80 else "unknown"), "in_chunk": c >= 0, "chunk_offset": c, "offset": at, "length": len(body)}
         elif name == "raw_records" and op not in r.FIELDS:
@@ -256,10 +399,7 @@ def relation(path: str, o: Options) -> Iterator[dict]:
                 v = r.decode(op, body)
                 yield {"file": path, "chunk_offset": chunk, "index_offset": at, "channel_id": v["channel_id"], "entries": [{"log_time": t, "msg_offset": m} for t, m in v["entries"]]}
         elif name == "attachments" and op == r.ATTACHMENT:
-            v = r.decode(op, body)
-            if o.crc and v["crc"] and _crc(body) != v["crc"]:
-                raise LogError(f"{path}: checksum of attachment {v['name']} differs")
-            yield base | v | {"offset": at, "length": len(body) + 9, "data_size": len(v["data"]), "data": v["data"] if o.payload else None}
+            yield base | _attachment(path, body, at, o)
         elif name == "metadata" and op == r.METADATA:
             yield base | r.decode(op, body) | {"offset": at, "length": len(body) + 9}
         elif name == "footer" and op == r.FOOTER:
@@ -269,10 +409,89 @@ def relation(path: str, o: Options) -> Iterator[dict]:
             yield {"file": path, "problem": x}
 
 
-def _crc(body: memoryview) -> int:
-    import zlib
+def _attachment(path: str, body: memoryview, at: int, o: Options) -> dict:
+    v = r.decode(r.ATTACHMENT, body)
+    if o.crc and not o.lenient and v["crc"] and zlib.crc32(memoryview(body)[:-4]) != v["crc"]:
+        raise LogError(f"{path}: checksum of attachment {v['name']} differs")
+    return v | {"offset": at, "length": len(body) + 9, "data_size": len(v["data"]), "data": v["data"] if o.payload else None}
 
-    return zlib.crc32(body[:-4])
+
+def _by_offset(path: str, name: str, o: Options) -> Iterator[dict] | None:
+    """Rows read at the offsets that the index gives; None where it doesn't have them all."""
+    f, size = files.open_random(path)
+    with f:
+        try:
+            s = r.read_summary(f, size)
+        except LogError:
+            s = None
+    if s is None or s.statistics is None or name == "message_index" and (not s.proves_complete or any(not c["message_index_offsets"] for c in s.chunks)):
+        return None
+    if name != "message_index" and len(index := s.attachments if name == "attachments" else s.metadata) != s.statistics[name.rstrip("s") + "_count" if name == "attachments" else "metadata_count"]:
+        return None
+
+    def rows() -> Iterator[dict]:
+        f, _ = files.open_random(path)
+        with f:
+            if name == "message_index":
+                for c in s.chunks:
+                    f.seek(c["chunk_offset"] + c["chunk_length"])
+                    begin = c["chunk_offset"] + c["chunk_length"]
+                    for op, at, body in r.split(f.read(c["message_index_length"])):
+                        if op == r.MESSAGE_INDEX:
+                            v = r.decode(op, body)
+                            yield {"file": path, "chunk_offset": c["chunk_offset"], "index_offset": begin + at, "channel_id": v["channel_id"], "entries": [{"log_time": t, "msg_offset": m} for t, m in v["entries"]]}
+                return
+            for pos, v in enumerate(index):
+                base = {"file": path, "file_pos": pos}
+                if name == "attachments" and not o.payload:
+                    yield base | v | {"data": None}
+                    continue
+                f.seek(v["offset"])
+                raw = f.read(v["length"])
+                op, n = r._HEAD.unpack_from(raw)
+                if op != (r.ATTACHMENT if name == "attachments" else r.METADATA) or n + 9 != v["length"]:
+                    raise LogError(f"{path}: the index names a record at {v['offset']} that isn't there")
+                body = memoryview(raw)[9:]
+                yield base | (_attachment(path, body, v["offset"], o) if name == "attachments" else r.decode(op, body) | {"offset": v["offset"], "length": v["length"]})
+
+    return rows()
+
+
+#: Kinds that a recovery tells apart.
+_SAVED = {r.HEADER: "header", r.SCHEMA: "schema", r.CHANNEL: "channel", r.CHUNK: "chunk", r.MESSAGE: "message", r.ATTACHMENT: "attachment", r.METADATA: "metadata"}
+
+
+def recovery(path: str, o: Options) -> Iterator[dict]:
+    """By kind of record: how many can be saved and how many are lost; whether the file ends before its end."""
+    data = files.read_all(path)
+    good: dict[str, int] = dict.fromkeys([*_SAVED.values(), "other"], 0)
+    bad = dict(good)
+    channels: set[int] = set()
+    loose: dict[int, int] = {}
+    ended, broken = False, []
+    for op, _, _, body in r.scan(data, True, o.limit, broken.append, o.max_open):
+        kind = _SAVED.get(op, "other")
+        try:
+            v = r.decode(op, body) if op in r.FIELDS and op != r.MESSAGE else None
+            if op == r.CHUNK:
+                r.open_chunk(v, False, o.max_open)
+            if op == r.MESSAGE:
+                if len(body) < 22:
+                    raise LogError("message cut short")
+                cid = int.from_bytes(body[:2], "little")
+                loose[cid] = loose.get(cid, 0) + 1
+                continue
+            if op == r.CHANNEL:
+                channels.add(v["id"])
+        except Exception:  # whatever a broken record raises, it is lost
+            bad[kind] += 1
+            continue
+        ended = ended or op in (r.DATA_END, r.FOOTER)
+        good[kind] += 1
+    for cid, n in loose.items():
+        (good if cid in channels else bad)["message"] += n
+    for kind in good:
+        yield {"file": path, "kind": kind, "recovered": good[kind], "discarded": bad[kind], "truncated": not ended or any("cut short" in p or "opcode 0" in p or "magic" in p for p in broken)}
 
 
 # ---- writing
@@ -280,8 +499,8 @@ def _crc(body: memoryview) -> int:
 
 @dataclass
 class Wrote(WriterCommitMessage):
-    path: str
-    own: str
+    path: list[str]
+    own: list[str]
     messages: int
 
 
@@ -297,50 +516,119 @@ class LogWriter(DataSourceArrowWriter):
 
         get = self.raw.get
         flag = lambda k, d=True: str(get(k.lower(), d)).lower() == "true"
+        for module in filter(None, get("codecs", "").split(",")):
+            importlib.import_module(module)
         options = r.WriteOptions(
-            profile=get("profile", ""), library=get("library", "tempolog"), chunk_size=int(get("chunksize", 1 << 20)), compression=get("compression", "zstd").replace("none", ""), use_chunking=flag("useChunking"), statistics=flag("statistics"),
+            profile=get("profile", ""), library=get("library", "tempolog"), chunk_size=int(get("chunksize", 1 << 20)), compression=get("compression", "zstd").replace("none", ""), compression_level=int(get("compressionlevel", 0)) or None, use_chunking=flag("useChunking"), statistics=flag("statistics"),
             message_index=flag("messageIndex"), chunk_index=flag("chunkIndex"), summary_offsets=flag("summaryOffsets"), repeat_schemas=flag("repeatSchemas"), repeat_channels=flag("repeatChannels"), crcs=flag("crcs"), data_crc=flag("dataCrc"), force_compression=flag("forceCompression", False),
         )
+        most, most_bytes = int(get("maxfilemessages", 0)), int(get("maxfilebytes", 0))
         fs, root = files.resolve(self.root)
         fs.create_dir(root, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}{SUFFIX}"
-        with fs.open_output_stream(f"{root}/_{name}") as out:
-            w = r.Writer(out, options)
-            topic_break, last = flag("chunkPerChannel", False), None
-            for b in batches:
-                for row in b.to_pylist():
-                    encoding = row.get("schema_encoding")
-                    schema = w.add_schema(row.get("schema_name") or "", encoding or "", row.get("schema_data") or b"") if row.get("schema_name") is not None else 0
-                    c = w.add_channel(schema, row["topic"], row.get("message_encoding") or "", dict(row.get("channel_metadata") or {}))
-                    if topic_break and last not in (None, c):
-                        w.flush()
-                    last = c
-                    w.write(c, row.get("sequence") or 0, row["log_time"], row["log_time"] if row.get("publish_time") is None else row["publish_time"], row["data"] or b"")
+        done: list[tuple[str, str]] = []
+        total = 0
+        put = {"messages": self._put_messages, "attachments": _put_attachments, "metadata": _put_metadata}[get("relation", "messages")]
+        out = w = None
+
+        def close() -> None:
             w.finish()
-        return Wrote(f"{root}/{name}", f"{root}/_{name}", w.messages)
+            out.close()
+
+        try:
+            for step in put(batches):
+                if w is not None and (most and w.messages >= most or most_bytes and w.at + w.chunk_bytes >= most_bytes):
+                    close()
+                    w = None
+                if w is None:
+                    name = f"part-{TaskContext.get().partitionId():05d}-{len(done):04d}-{uuid.uuid4().hex[:12]}{SUFFIX}"
+                    done.append((f"{root}/{name}", f"{root}/_{name}"))
+                    out = fs.open_output_stream(done[-1][1])
+                    w = r.Writer(out, options)
+                    w.ids = {}
+                step(w)
+                total += 1
+            if w is None and get("relation", "messages") == "messages":  # a task without a row leaves an empty log
+                name = f"part-{TaskContext.get().partitionId():05d}-0000-{uuid.uuid4().hex[:12]}{SUFFIX}"
+                done.append((f"{root}/{name}", f"{root}/_{name}"))
+                out = fs.open_output_stream(done[-1][1])
+                w = r.Writer(out, options)
+            if w is not None:
+                close()
+        except BaseException:
+            if out is not None:
+                out.close()
+            raise
+        return Wrote([p for p, _ in done], [o for _, o in done], total)
+
+    def _put_messages(self, batches: Iterator[pa.RecordBatch]):
+        """For each message what writes it; ids of schemas and channels are the writer's own."""
+        topic_break = str(self.raw.get("chunkperchannel", "false")).lower() == "true"
+        last: list = [None]
+        for b in batches:
+            n = b.num_rows
+            col = lambda k: b.column(k).to_pylist() if k in b.schema.names else [None] * n  # noqa: E731, B023
+            names = ("topic", "schema_name", "schema_encoding", "schema_data", "message_encoding", "channel_metadata", "channel_key", "sequence", "log_time", "publish_time", "data")
+            for topic, name, encoding, definition, kind, metadata, own, seq, log, pub, data in zip(*map(col, names)):
+                metadata = dict(metadata or {})
+                key = (topic, name, encoding, definition, kind, tuple(sorted(metadata.items())), own)
+
+                def step(w, key=key, metadata=metadata, seq=seq, log=log, pub=pub, data=data):
+                    c = w.ids.get(key)
+                    if c is None:
+                        topic, name, encoding, definition, kind, _, own = key
+                        schema = w.add_schema(name, encoding or "", definition or b"") if name is not None else 0
+                        # A channel with a key of its own stays apart from others of the same content.
+                        c = w.ids[key] = w.add_channel(schema, topic, kind or "", metadata, None if own is None else max(w.channels, default=0) + 1)
+                    if topic_break and last[0] not in (None, c):
+                        w.flush()
+                    last[0] = c
+                    w.write(c, seq or 0, log, log if pub is None else pub, data or b"")
+
+                yield step
 
     def commit(self, messages) -> None:
         fs, root = files.resolve(self.root)
         old = files.listed(self.root, SUFFIX) if self.overwrite and fs.get_file_info(root).type.name == "Directory" else []
         for m in filter(None, messages):
-            fs.move(m.own, m.path)
+            for own, path in zip(m.own, m.path):
+                fs.move(own, path)
         for f in old:
             fs.delete_file(files.resolve(f)[1])
 
     def abort(self, messages) -> None:
         fs, _ = files.resolve(self.root)
         for m in filter(None, messages):
-            fs.delete_file(m.own)
+            for own in m.own:
+                fs.delete_file(own)
+
+
+def _put_attachments(batches: Iterator[pa.RecordBatch]):
+    for b in batches:
+        for v in b.to_pylist():
+            yield lambda w, v=v: w.attach(v["name"], v.get("media_type") or "", v.get("log_time") or 0, v.get("create_time") or 0, v.get("data") or b"")
+
+
+def _put_metadata(batches: Iterator[pa.RecordBatch]):
+    for b in batches:
+        for v in b.to_pylist():
+            yield lambda w, v=v: w.add_metadata(v["name"], dict(v.get("metadata") or {}))
 
 
 # ---- streaming
 
 
 class LogStream(DataSourceStreamReader):
-    """New whole records of files that grow; the offset is, by file, the end of its last whole record."""
+    """New whole records of files that grow; the offset is, by file, the end of its last whole record.
+
+    Neither planning nor reading begins anew: the driver goes on from the end that it knows, and a task reads its range
+    alone.  Definitions from before the range are kept in the worker; one that hasn't seen them reads them once.
+    """
+
+    _known: dict[str, tuple[int, dict, dict]] = {}
 
     def __init__(self, options: Options, schema: StructType):
         self.o, self.schema = options, schema
+        self._ends: dict[str, int] = {}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
@@ -350,36 +638,58 @@ class LogStream(DataSourceStreamReader):
         for path in files.listed(self.o.path, SUFFIX):
             f, size = files.open_random(path)
             with f:
-                at = len(r.MAGIC)
+                at = self._ends.get(path, len(r.MAGIC))
                 while at + 9 <= size:
                     f.seek(at)
                     op, n = r._HEAD.unpack(f.read(9))
                     if op in (r.DATA_END, 0) or at + 9 + n > size:
                         break
                     at += 9 + n
-            out[path] = at
+            out[path] = self._ends[path] = at
         return out
 
     def partitions(self, start: dict, end: dict):
+        self._ends = dict(start) | self._ends
         return [InputPartition(json.dumps([path, start.get(path, len(r.MAGIC)), stop])) for path, stop in sorted(end.items()) if stop > start.get(path, len(r.MAGIC))] or [InputPartition(json.dumps(["", 0, 0]))]
 
+    def _definitions(self, f, path: str, start: int) -> tuple[dict, dict]:
+        at, schemas, channels = self._known.get(path, (len(r.MAGIC), {}, {}))
+        if at > start:  # an earlier range again
+            at, schemas, channels = len(r.MAGIC), {}, {}
+        schemas, channels = dict(schemas), dict(channels)
+        if at < start:
+            f.seek(at)
+            for op, _, _, body in self.o.scan(r.MAGIC + f.read(start - at)):
+                if op in (r.SCHEMA, r.CHANNEL):
+                    v = r.decode(op, body)
+                    (schemas if op == r.SCHEMA else channels)[v["id"]] = v
+        return schemas, channels
+
     def read(self, partition: InputPartition):
         path, start, stop = json.loads(partition.value)
         if not path:
             return
+        self.o.load_codecs()
         f, _ = files.open_random(path)
         with f:
-            data = f.read(stop)
+            schemas, channels = self._definitions(f, path, start)
+            f.seek(start)
+            data = r.MAGIC + f.read(stop - start)
+        shift = start - len(r.MAGIC)
         reader = LogReader(self.o, self.schema)
-        schemas, channels = {}, {}
-        for op, chunk, at, body in r.scan(data, self.o.crc, self.o.limit):
+        views: dict = {}
+        for op, chunk, at, body in self.o.scan(data):
             if op in (r.SCHEMA, r.CHANNEL):
                 v = r.decode(op, body)
                 (schemas if op == r.SCHEMA else channels)[v["id"]] = v
-            elif op == r.MESSAGE and (chunk if chunk >= 0 else at) >= start:
-                row = reader._message(Part(path, None), body, chunk if chunk >= 0 else at, at if chunk >= 0 else 0, channels, schemas, 0)
+                views = {}
+            elif op == r.MESSAGE:
+                row = reader._message(path, body, shift + (chunk if chunk >= 0 else at), at if chunk >= 0 else 0, views, channels, schemas, 0)
                 if row:
-                    yield tuple(row.get(n) for n in self.schema.names)
+                    cid, seq, log, pub, payload, view, chunk_at, msg_at, pos = row
+                    all_ = dict(zip(("topic", "schema_id", "schema_name", "schema_encoding", "message_encoding"), view)) | {"file": path, "channel_id": cid, "sequence": seq, "log_time": log, "publish_time": pub, "data": payload, "chunk_offset": chunk_at, "msg_offset": msg_at, "file_pos": pos}
+                    yield tuple(all_.get(n) for n in self.schema.names)
+        self._known[path] = (stop, schemas, channels)
 
     def commit(self, end: dict) -> None:
         pass

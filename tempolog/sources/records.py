@@ -90,6 +90,16 @@ def decompress(name: str, data: bytes, size: int) -> bytes:
     return CODECS[name][1](data, size)
 
 
+def compress(name: str, data: bytes, level: int | None = None) -> bytes:
+    if name not in CODECS:
+        raise LogError(f"unknown compression {name!r}")
+    if level is not None and name == "zstd":
+        import zstandard
+
+        return zstandard.ZstdCompressor(level=level).compress(data)
+    return CODECS[name][0](data)
+
+
 # ---- encoding
 
 
@@ -202,6 +212,7 @@ class WriteOptions:
     library: str = "tempolog"
     chunk_size: int = 1 << 20
     compression: str = "zstd"
+    compression_level: int | None = None
     force_compression: bool = False
     use_chunking: bool = True
     message_index: bool = True
@@ -324,7 +335,7 @@ class Writer:
         o = self.options
         raw = b"".join(self.chunk)
         name = o.compression
-        packed = CODECS[name][0](raw)
+        packed = compress(name, raw, o.compression_level)
         if name and len(packed) >= len(raw) and not o.force_compression:
             name, packed = "", raw
         body = encode(CHUNK, start_time=self.lo or 0, end_time=self.hi, uncompressed_size=len(raw), crc=zlib.crc32(raw) if o.crcs else 0, compression=name, records=packed)
@@ -452,14 +463,16 @@ def read_summary(file, size: int) -> Summary | None:
     return out
 
 
-def open_chunk(v: dict, validate: bool = True) -> bytes:
+def open_chunk(v: dict, validate: bool = True, most: int | None = None) -> bytes:
+    if most is not None and v["uncompressed_size"] > most:
+        raise LogError(f"chunk of {v['uncompressed_size']} bytes is over the limit of {most}")
     raw = decompress(v["compression"], v["records"], v["uncompressed_size"])
     if validate and v["crc"] and zlib.crc32(raw) != v["crc"]:
         raise LogError("chunk checksum differs")
     return raw
 
 
-def scan(data: bytes, validate: bool = True, limit: int | None = None, lenient: Callable[[str], None] | None = None) -> Iterator[tuple[int, int, int, memoryview]]:
+def scan(data: bytes, validate: bool = True, limit: int | None = None, lenient: Callable[[str], None] | None = None, most: int | None = None) -> Iterator[tuple[int, int, int, memoryview]]:
     """``(opcode, chunk offset or -1, offset, content)`` of every record, chunks opened, in file order.
 
     ``lenient``: reports problems and goes on: a chunk whose checksum differs gives its rows, one that can't
@@ -476,7 +489,7 @@ def scan(data: bytes, validate: bool = True, limit: int | None = None, lenient:
         if op == CHUNK:
             try:
                 v = decode(CHUNK, body)
-                raw = open_chunk(v, validate and lenient is None)
+                raw = open_chunk(v, validate and lenient is None, most)
                 if lenient and validate and v["crc"] and zlib.crc32(raw) != v["crc"]:
                     lenient(f"chunk checksum differs at {at}")
             except Exception as e:
