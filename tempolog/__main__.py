@@ -30,6 +30,9 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("-o", "--output", required=True)
             c.add_argument("--compression", default="zstd", choices=["zstd", "lz4", "none"])
             c.add_argument("--chunk-size", type=int, default=1 << 20)
+            if name in ("filter", "sort", "compress", "decompress", "merge"):
+                c.add_argument("--exclude-metadata", action="store_true")
+                c.add_argument("--exclude-attachments", action="store_true")
         return c
 
     c = command("cat", times=True)
@@ -46,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     c = command("merge", out=True)
     c.add_argument("files", nargs="+")
     c.add_argument("--coalesce-channels", default="auto", choices=["auto", "force", "none"])
+    c.add_argument("--allow-duplicate-metadata", action="store_true")
+    command("completion").add_argument("shell", choices=["bash", "zsh", "fish"])
     command("doctor", "file").add_argument("--strict-message-order", action="store_true")
     command("info", "file")
     command("validate", "file")
@@ -71,6 +76,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def completion(shell: str) -> str:
+    """A script that completes commands and their options; made from the parser."""
+    subs = next(a for a in parser()._actions if isinstance(a, argparse._SubParsersAction)).choices
+    options = {name: [o for a in p._actions for o in a.option_strings if o.startswith("--")] for name, p in subs.items()}
+    if shell == "fish":
+        lines = [f"complete -c tempolog -n __fish_use_subcommand -a {name}" for name in subs]
+        return "\n".join(lines + [f"complete -c tempolog -n '__fish_seen_subcommand_from {name}' -l {o[2:]}" for name, os_ in options.items() for o in os_])
+    cases = "\n".join(f'    {name}) COMPREPLY=($(compgen -f -W "{" ".join(os_)}" -- "$cur"));;' for name, os_ in options.items())
+    first = "autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else ""
+    return f"""{first}_tempolog() {{
+  local cur="${{COMP_WORDS[COMP_CWORD]}}"
+  if [ "$COMP_CWORD" = 1 ]; then COMPREPLY=($(compgen -W "{" ".join(subs)}" -- "$cur")); return; fi
+  case "${{COMP_WORDS[1]}}" in
+{cases}
+  esac
+}}
+complete -F _tempolog tempolog"""
+
+
 def _show(df, out) -> None:
     rows = df.toLocalIterator()  # row by row: never the whole result on the driver
     if len(df.columns) == 1 and df.columns[0] == "value":
@@ -89,7 +113,11 @@ def run(args: argparse.Namespace, engine, out=sys.stdout) -> int:
     if hasattr(a, "start"):
         bounds = {s: bound_nanos(getattr(a, s), getattr(a, f"{s}_nsecs"), getattr(a, f"{s}_secs")) for s in ("start", "end")}
     write = {"compression": a.compression, "chunkSize": a.chunk_size} if hasattr(a, "chunk_size") else {}
-    if a.command == "cat":
+    if hasattr(a, "exclude_metadata"):
+        write |= {"include_metadata": not a.exclude_metadata, "include_attachments": not a.exclude_attachments}
+    if a.command == "completion":
+        print(completion(a.shell), file=out)
+    elif a.command == "cat":
         got = engine.cat(",".join(a.files), a.format, topics=a.topics.split(",") if a.topics else None, **bounds)
         _show(got.df, out)
         warnings = got.warnings
@@ -102,9 +130,11 @@ def run(args: argparse.Namespace, engine, out=sys.stdout) -> int:
     elif a.command == "convert":
         engine.convert(a.file, a.output, **write)
     elif a.command == "recover":
-        warnings = engine.recover(a.file, a.output, **write).warnings
+        got = engine.recover(a.file, a.output, **write)
+        _show(got.df.where("recovered > 0 or discarded > 0 or truncated"), out)
+        warnings = got.warnings
     elif a.command == "merge":
-        engine.merge(a.files, a.output, a.coalesce_channels, **write)
+        engine.merge(a.files, a.output, a.coalesce_channels, a.allow_duplicate_metadata, **write)
     elif a.command == "doctor":
         got = engine.doctor(a.file, a.strict_message_order)
         _show(got.df, out)

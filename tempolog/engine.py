@@ -7,10 +7,11 @@ there is something to warn of.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,29 +86,66 @@ class Engine:
         return short.unionByName(self.relation(path, "channels").select("topic")).distinct()
 
     def _indexed(self, path: str) -> bool:
-        for p in files.listed(path):
+        """Whether every file's index covers all its messages; files are looked at by tasks, many at a time."""
+
+        def whole(p: str) -> bool:
             f, size = files.open_random(p)
             with f:
                 s = records.read_summary(f, size)
-            if s is None or not s.proves_complete:
-                return False
-        return True
+            return s is not None and s.proves_complete
+
+        found = files.listed(path)
+        if len(found) <= 16:
+            return all(map(whole, found))
+
+        def each(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([whole(p) for p in b.column("p").to_pylist()])], ["ok"])
+
+        names = self.spark.createDataFrame([(p,) for p in found], "p string").repartition(min(len(found), 1000))
+        return not names.mapInArrow(each, "ok boolean").where("not ok").head(1)
+
+    def definitions(self, path: str, what: str) -> DataFrame:
+        """``channels`` or ``schemas``, one row an id and file: from the index where every file has one, by reading otherwise."""
+        short = self._indexed(path)
+        return self.relation(path, f"summary_{what}" if short else what).dropDuplicates(["file", "id"])
 
     def decoded(self, path: str, topic: str | None = None, **options) -> DataFrame:
         rows = self.messages(path, [topic] if topic else None, **options)
-        definitions = self.relation(path, "schemas").dropDuplicates(["file", "id"])
-        return decode.decoded(rows, definitions)
+        return decode.decoded(rows, self.definitions(path, "schemas"))
 
     def message(self, path: str, chunk_offset: int, msg_offset: int) -> DataFrame:
+        """One message by its place: only its chunk is read."""
         return self.relation(path).where((F.col("chunk_offset") == chunk_offset) & (F.col("msg_offset") == msg_offset))
 
+    def chunk(self, path: str, chunk_offset: int) -> DataFrame:
+        """The messages of one chunk, in their order."""
+        return self.relation(path).where(F.col("chunk_offset") == chunk_offset).orderBy("file", "msg_offset")
+
     # ---- summaries
 
     def statistics(self, path: str) -> DataFrame:
-        """From the index where it has statistics, else from the messages."""
+        """From the index where it has statistics, else from the messages and records."""
         if self._indexed(path):
-            return self.relation(path, "statistics").select("file", "message_count", "channel_count", "message_start_time", "message_end_time")
-        return stats.file_statistics(self.relation(path, payload=False))
+            return self.relation(path, "statistics").drop("channel_message_counts")
+        return self.scanned_statistics(path)
+
+    def scanned_statistics(self, path: str) -> DataFrame:
+        """As if there were no index: everything is counted anew."""
+        seen = stats.file_statistics(self.relation(path, payload=False))
+        records_ = self.relation(path, "records")
+        kinds = {"schema_count": ("schemas", None), "attachment_count": (None, 0x09), "metadata_count": (None, 0x0C), "chunk_count": (None, 0x06)}
+        counted = records_.groupBy("file").agg(*[F.count_if((F.col("opcode") == op) & ~F.col("in_chunk")).alias(k) for k, (_, op) in kinds.items() if op])
+        channels, schemas = (self.relation(path, w).groupBy("file").agg(F.countDistinct("id").cast("int" if w == "schemas" else "long").alias(k)) for w, k in (("channels", "channel_count"), ("schemas", "schema_count")))
+        out = counted.join(seen.drop("channel_count"), "file", "left").join(channels, "file", "left").join(schemas, "file", "left")
+        names = ["message_count", "schema_count", "channel_count", "attachment_count", "metadata_count", "chunk_count", "message_start_time", "message_end_time"]
+        return out.select("file", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+
+    def summary(self, path: str, scan: bool = False) -> dict[str, DataFrame]:
+        """Schemas, channels, chunk indexes and statistics; ``scan`` (or a file without an index) builds them from the records."""
+        if not scan and self._indexed(path):
+            return {"schemas": self.definitions(path, "schemas"), "channels": self.definitions(path, "channels"), "chunks": self.relation(path, "chunk_index"), "statistics": self.statistics(path)}
+        return {**{w: self.relation(path, w).dropDuplicates(["file", "id"]) for w in ("schemas", "channels")}, "chunks": self.relation(path, "chunks"), "statistics": self.scanned_statistics(path)}
 
     def info(self, path: str) -> dict[str, DataFrame]:
         m = None if self._indexed(path) else self.relation(path, payload=False)
@@ -128,7 +166,7 @@ class Engine:
         if what not in relations:
             raise LogError(f"can't list {what}")
         df = self.relation(path, relations[what], payload=what != "attachments")
-        return getattr(listing, what)(df.dropDuplicates(["file", "id"]) if what in ("channels", "schemas") else df)
+        return getattr(listing, what)(self.definitions(path, what) if what in ("channels", "schemas") else df)
 
     def attachment(self, path: str, name: str, offset: int | None = None) -> DataFrame:
         return listing.get_attachment(self.relation(path, "attachments"), name, offset)
@@ -137,7 +175,7 @@ class Engine:
         return stats.merged_metadata(select.metadata_where(self.relation(path, "metadata"), name))
 
     def doctor(self, path: str, strict: bool = False) -> Outcome:
-        found = integrity.doctor(datasource.relations(self.spark, path, mode="PERMISSIVE"), strict)
+        found = integrity.doctor(datasource.relations(self.spark, path, mode="PERMISSIVE", keepUnknown="true"), strict)
         return Outcome(found, ["see findings"] if found.head(1) else [])
 
     def validate(self, path: str) -> Outcome:
@@ -153,8 +191,7 @@ class Engine:
         if style == "text":
             return Outcome(text.text_line(rows))
         if style == "ndjson":
-            definitions = self.relation(path, "schemas").dropDuplicates(["file", "id"])
-            return Outcome(text.ndjson_line(decode.decoded(rows, definitions).withColumn("data", F.col("json"))))
+            return Outcome(text.ndjson_line(decode.decoded(rows, self.definitions(path, "schemas")).withColumn("data", F.col("json"))))
         if style == "csv":
             return self.csv(rows)
         raise LogError(f"unknown format {style}")
@@ -173,68 +210,126 @@ class Engine:
             warnings.append("messages with further columns")
         return Outcome(flat.select(*fixed, *[F.coalesce(F.col("fields")[k], F.lit("")).alias(k) for k in kept]), warnings)
 
-    def write(self, messages: DataFrame, path: str, mode: str = "append", order_by: str | None = "log_time", **options) -> None:
-        """Range-partitioned by the order and sorted in each file, so files follow one another."""
+    def write(self, messages: DataFrame, path: str, mode: str = "append", order_by: str | None = "log_time", attachments: DataFrame | None = None, metadata: DataFrame | None = None, **options) -> None:
+        """Range-partitioned by the order and sorted in each file, so files follow one another.
+
+        Attachments and metadata records go to files of their own beside those of the messages.
+        """
         df = messages
-        if order_by:
+        if order_by == "file":
+            place = [c for c in ("phase", "input_idx", "file", "chunk_offset", "msg_offset") if c in df.columns]
+            df = df.repartitionByRange(*place).sortWithinPartitions(*place)
+        elif order_by:
             keys = {"log_time": ["log_time"], "topic": ["topic", "channel_id", "log_time"]}[order_by]
             tie = [c for c in ("phase", "input_idx", "chunk_offset", "msg_offset", "sequence") if c in df.columns]
             df = df.repartitionByRange(*keys).sortWithinPartitions(*keys, *tie)
-        df.write.format("tlog").mode(mode).options(path=path, chunkPerChannel=str(order_by == "topic"), **{k: str(v) for k, v in options.items()}).save()
-
-    def with_schema_data(self, messages: DataFrame, path: str) -> DataFrame:
-        s = self.relation(path, "schemas").dropDuplicates(["file", "id"]).select("file", F.col("id").alias("schema_id"), F.col("data").alias("schema_data"))
-        c = self.relation(path, "channels").dropDuplicates(["file", "id"]).select("file", F.col("id").alias("channel_id"), F.col("metadata").alias("channel_metadata"))
+        options = {k: str(v) for k, v in options.items()}
+        df.write.format("tlog").mode(mode).options(path=path, chunkPerChannel=str(order_by == "topic"), **options).save()
+        for name, rows in (("attachments", attachments), ("metadata", metadata)):
+            if rows is not None:
+                order = [c for c in ("input_idx", "file", "offset") if c in rows.columns]
+                rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+                rows.write.format("tlog").mode("append").options(path=path, relation=name, **options).save()
+
+    def kept(self, path: str, include_attachments: bool = True, include_metadata: bool = True, **options) -> dict[str, DataFrame]:
+        """The attachments and metadata records that a rewrite carries over, whatever the times of its messages."""
+        wanted = {"attachments": include_attachments, "metadata": include_metadata}
+        return {name: self.relation(path, name, **options) for name, keep in wanted.items() if keep}
+
+    def with_schema_data(self, messages: DataFrame, path: str, **options) -> DataFrame:
+        """What a writer needs besides: definitions of schemas and metadata of channels."""
+        names = {w: self.definitions(path, w) if not options else self.relation(path, w, **options).dropDuplicates(["file", "id"]) for w in ("schemas", "channels")}
+        s = names["schemas"].select("file", F.col("id").alias("schema_id"), F.col("data").alias("schema_data"))
+        c = names["channels"].select("file", F.col("id").alias("channel_id"), F.col("metadata").alias("channel_metadata"))
         return messages.join(s, ["file", "schema_id"], "left").join(c, ["file", "channel_id"], "left")
 
-    def filter(self, path: str, out: str, include: list[str] = (), exclude: list[str] = (), last_per_channel: list[str] = (), start: int = 0, end: int = 0, order_by: str = "log_time", **options) -> None:
-        """Topics and a time range into a new log; channels named by ``last_per_channel`` get their latest message before it as well."""
+    def filter(self, path: str, out: str, include: list[str] = (), exclude: list[str] = (), last_per_channel: list[str] = (), start: int = 0, end: int = 0, order_by: str = "log_time", include_attachments: bool = True, include_metadata: bool = True, **options) -> None:
+        """Topics and a time range into a new log; channels named by ``last_per_channel`` get their latest message before it as well.
+
+        Attachments and metadata records stay, unless excluded, whatever the time range.
+        """
         rows = self.messages(path, include=include, exclude=exclude, start=start, end=end, order_by=None)
         if last_per_channel:
             before = self.messages(path, include=last_per_channel, order_by=None)
             rows = join.last_per_channel(before, start).withColumn("phase", F.lit(0)).unionByName(rows.withColumn("phase", F.lit(1)), allowMissingColumns=True)
-        self.write(self.with_schema_data(rows, path), out, order_by=order_by, profile=self.profile(path), **options)
+        self.write(self.with_schema_data(rows, path), out, order_by=order_by, profile=self.profile(path), **self.kept(path, include_attachments, include_metadata), **options)
 
-    def sort(self, path: str, out: str, **options) -> None:
-        self.filter(path, out, order_by="log_time", **options)
+    def sort(self, path: str, out: str, order_by: str = "log_time", **options) -> None:
+        self.filter(path, out, order_by=order_by, **options)
 
-    def compress(self, path: str, out: str, compression: str = "zstd") -> None:
-        self.filter(path, out, compression=compression)
+    def compress(self, path: str, out: str, compression: str = "zstd", **options) -> None:
+        self.filter(path, out, compression=compression, **options)
 
-    def decompress(self, path: str, out: str) -> None:
-        self.filter(path, out, compression="none")
+    def decompress(self, path: str, out: str, **options) -> None:
+        self.filter(path, out, compression="none", **options)
 
     def profile(self, path: str) -> str:
-        return merge.merged_profile([r.profile for r in self.relation(path, "header").collect()])
+        """Of all files if they agree: at most two distinct ones come to the driver."""
+        return merge.merged_profile([r.profile for r in self.relation(path, "header").select("profile").distinct().limit(2).collect()])
+
+    def merge(self, paths: list[str], out: str, coalesce: str = "auto", allow_duplicate_metadata: bool = False, include_attachments: bool = True, include_metadata: bool = True, **options) -> None:
+        """Several logs into one: order by time, then input, then place; attachments one after another.
 
-    def merge(self, paths: list[str], out: str, coalesce: str = "auto", **options) -> None:
-        """Several logs into one: order by time, then input, then place."""
+        A name of metadata records that comes twice is an error, unless allowed; then equal records are written once.
+        """
         parts = []
         for p in paths:
             rows = self.with_schema_data(self.relation(p), p)
-            parts.append(rows.withColumn("input_order", F.struct("chunk_offset", "msg_offset")))
+            parts.append(rows.withColumn("input_order", F.struct("file", "chunk_offset", "msg_offset")))
         rows = merge.union_inputs(parts)
         if coalesce == "force":  # the first metadata seen of a topic goes for all
             first = rows.groupBy("topic", "schema_name", "message_encoding").agg(F.min_by("channel_metadata", F.struct("log_time", "input_idx", "input_order")).alias("channel_metadata"))
-            rows = rows.drop("channel_metadata").join(first, ["topic", "schema_name", "message_encoding"])
-        elif coalesce == "none":
-            rows = rows.withColumn("channel_metadata", F.map_concat("channel_metadata", F.create_map(F.lit("input"), F.concat_ws(":", "input_idx", "channel_id"))))
+            rows = rows.withColumnsRenamed({"channel_metadata": "_own", "schema_name": "_schema"})
+            same = (F.col("f.topic") == F.col("r.topic")) & F.col("_schema").eqNullSafe(F.col("schema_name")) & (F.col("f.message_encoding") == F.col("r.message_encoding"))
+            rows = rows.alias("r").join(first.alias("f"), same).select("r.*", "schema_name", "channel_metadata").drop("_own", "_schema")
+        elif coalesce == "none":  # each channel of each input stays one of its own
+            rows = rows.withColumn("channel_key", F.concat_ws(":", "input_idx", "file", "channel_id"))
         elif coalesce != "auto":
             raise LogError(f"unknown mode {coalesce}")
-        self.write(rows, out, profile=merge.merged_profile([self.profile(p) for p in paths]), **options)
+        kept: dict[str, DataFrame] = {}
+        if include_attachments:
+            kept["attachments"] = merge.union_inputs([self.relation(p, "attachments") for p in paths])
+        if include_metadata:
+            kept["metadata"] = merge.merge_metadata(merge.union_inputs([self.relation(p, "metadata") for p in paths]), allow_duplicate_metadata)
+        self.write(rows, out, profile=merge.merged_profile([self.profile(p) for p in paths]), **kept, **options)
 
     def convert(self, path: str, out: str, **options) -> None:
-        kind = {".bag": "rosbag", ".db3": "db3"}.get(PurePosixPath(path).suffix)
+        kind = {".bag": "rosbag", ".db3": "db3", ".ulg": "ulog"}.get(PurePosixPath(path).suffix)
         if kind is None:
             raise LogError(f"can't convert {path}")
-        self.write(self.spark.read.format(kind).option("path", path).load(), out, profile="ros1" if kind == "rosbag" else "ros2", **options)
+        self.write(self.spark.read.format(kind).option("path", path).load(), out, profile={"rosbag": "ros1", "db3": "ros2", "ulog": ""}[kind], **options)
 
     def recover(self, path: str, out: str, **options) -> Outcome:
-        """What can be read of damaged files, file by file; problems are the warnings."""
-        rows = self.relation(path, mode="PERMISSIVE")
-        s = self.relation(path, "schemas", mode="PERMISSIVE").dropDuplicates(["file", "id"]).select("file", F.col("id").alias("schema_id"), F.col("data").alias("schema_data"))
-        self.write(rows.join(s, ["file", "schema_id"], "left"), out, **options)
-        return Outcome(None, [f"{r.file}: {r.problem}" for r in self.relation(path, "problems", mode="PERMISSIVE").limit(1000).collect()])
+        """What can be read of damaged files, attachments and metadata records too, file by file.
+
+        The result's table says by file and kind of record how many are recovered and discarded, and whether the file breaks
+        off; there are warnings (and exit code 3) only where something is lost.
+        """
+        lenient = {"mode": "PERMISSIVE"}
+        rows = self.with_schema_data(self.relation(path, **lenient), path, **lenient)
+        self.write(rows, out, **self.kept(path, **lenient), **options)
+        found = self.relation(path, "recovery", **lenient)
+        lost = found.groupBy("kind").agg(F.sum("discarded").alias("n"), F.count_if(F.col("discarded") > 0).alias("files")).where("n > 0").orderBy("kind").collect()  # one row a kind
+        cut = found.where("truncated").select("file").distinct().count()
+        warnings = [f"discarded {r.n} {r.kind} records in {r.files} files" for r in lost] + ([f"{cut} files break off before their end"] if cut else [])
+        return Outcome(found, warnings)
+
+    def problems(self, path: str) -> DataFrame:
+        """Every problem that a lenient reading meets."""
+        return self.relation(path, "problems", mode="PERMISSIVE")
+
+    def on_records(self, path: str, callbacks: dict[str, Callable[[Iterator[dict]], object]], **options) -> None:
+        """Calls ``callbacks[relation]`` with the rows of that relation, as dicts, on the executors that read them: once a partition."""
+
+        def caller(fn):
+            def each(batches):
+                fn(row for b in batches for row in b.to_pylist())
+                yield from ()
+
+            return each
+
+        for name, fn in callbacks.items():
+            self.relation(path, name, **options).mapInArrow(caller(fn), "none int").write.format("noop").mode("overwrite").save()
 
     def add(self, path: str, out: str, attachment: dict | None = None, metadata: tuple[str, dict] | None = None, options: records.WriteOptions | None = None) -> None:
         """One file again with one more attachment or metadata record (in-place change is beyond Spark's sinks)."""

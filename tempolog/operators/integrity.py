@@ -25,8 +25,8 @@ def finding(df: DataFrame, severity: str, rule: str, detail: Column) -> DataFram
 
 
 def out_of_order(messages: DataFrame, strict: bool = False) -> DataFrame:
-    """Messages earlier than the latest before them in file order."""
-    late = running_max_before(messages, ("chunk_offset", "msg_offset"), "log_time").where("log_time < max_before")
+    """Messages earlier than the latest before them in their file's order."""
+    late = running_max_before(messages, ("chunk_offset", "msg_offset"), "log_time", by="file").where("log_time < max_before")
     return finding(late, ERROR if strict else WARNING, "decreasing-log-time", F.concat_ws(" < ", "log_time", "max_before"))
 
 
@@ -105,6 +105,8 @@ def chunk_bounds(chunks: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def index_mismatch(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Only where a file has an index at all."""
+    chunks = chunks.join(index.select("file").distinct(), "file", "left_semi")
     return finding(compare_index(index, chunks), ERROR, "chunk-index-mismatch", F.format_string("chunk %d: %s", "chunk_offset", "field"))
 
 
@@ -113,12 +115,28 @@ def duplicate_index(index: DataFrame) -> DataFrame:
     return finding(many, ERROR, "duplicate-chunk-index", F.col("chunk_offset"))
 
 
-def not_repeated(index: DataFrame, summary_channels: DataFrame) -> DataFrame:
-    """Channels of indexed chunks that the summary lacks."""
+def not_repeated(index: DataFrame, summary_channels: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """Channels of indexed chunks, by the index or by the chunks' messages, that the summary lacks."""
     used = index.select("file", F.explode(F.map_keys("message_index_offsets")).alias("id")).distinct()
+    if messages is not None:
+        seen = messages.select("file", "chunk_offset", F.col("channel_id").alias("id")).distinct().join(index.select("file", "chunk_offset"), ["file", "chunk_offset"], "left_semi")
+        used = used.unionByName(seen.select("file", "id")).distinct()
     return finding(used.join(summary_channels, ["file", "id"], "left_anti"), ERROR, "channel-not-in-summary", F.col("id"))
 
 
+def schemas_not_repeated(index: DataFrame, messages: DataFrame, channels: DataFrame, summary_schemas: DataFrame) -> DataFrame:
+    """Schemas of the messages of indexed chunks that the summary lacks."""
+    seen = messages.select("file", "chunk_offset", "channel_id").distinct().join(index.select("file", "chunk_offset"), ["file", "chunk_offset"], "left_semi")
+    used = seen.join(channels.select("file", F.col("id").alias("channel_id"), "schema_id").distinct(), ["file", "channel_id"]).where("schema_id <> 0").select("file", F.col("schema_id").alias("id")).distinct()
+    return finding(used.join(summary_schemas, ["file", "id"], "left_anti"), ERROR, "schema-not-in-summary", F.col("id"))
+
+
+def index_without_chunk(index: DataFrame, records: DataFrame) -> DataFrame:
+    """Chunk indexes that point where no chunk record begins."""
+    chunks = records.where("opcode = 6 and not in_chunk").select("file", F.col("offset").alias("chunk_offset"))
+    return finding(index.join(chunks, ["file", "chunk_offset"], "left_anti"), ERROR, "chunk-index-points-at-no-chunk", F.col("chunk_offset"))
+
+
 def statistics_mismatch(statistics: DataFrame, messages: DataFrame) -> DataFrame:
     seen = messages.groupBy("file").agg(F.count("*").alias("n"), F.min("log_time").alias("lo"), F.max("log_time").alias("hi"))
     both = statistics.join(seen, "file", "left").withColumns({k: F.coalesce(k, F.lit(0)) for k in ("n", "lo", "hi")})
@@ -144,7 +162,8 @@ def doctor(r: dict[str, DataFrame], strict: bool = False) -> DataFrame:
         duplicates(sc, "schema"), duplicates(ch, "channel"),
         not_in_data(r["summary_schemas"], sc, "schema"), not_in_data(r["summary_channels"], ch, "channel"),
         unknown_schema(ch, sc), unknown_channel(r["messages"], ch), message_before_channel(r["messages"], ch), out_of_order(r["messages"], strict),
-        chunk_bounds(r["chunks"], r["messages"]), index_mismatch(r["chunk_index"], r["chunks"]), duplicate_index(r["chunk_index"]), not_repeated(r["chunk_index"], r["summary_channels"]),
+        chunk_bounds(r["chunks"], r["messages"]), index_mismatch(r["chunk_index"], r["chunks"]), duplicate_index(r["chunk_index"]),
+        not_repeated(r["chunk_index"], r["summary_channels"], r["messages"]), schemas_not_repeated(r["chunk_index"], r["messages"], ch, r["summary_schemas"]), index_without_chunk(r["chunk_index"], r["records"]),
         statistics_mismatch(r["statistics"], r["messages"]), statistics_channels(r["statistics"], r["summary_channels"]),
     ]
     return reduce(DataFrame.unionByName, out)

@@ -42,11 +42,11 @@ def metadata(df: DataFrame) -> DataFrame:
 def get_attachment(df: DataFrame, name: str, offset: int | None = None) -> DataFrame:
     """None by that name is an error; of several, the offset says which; of one, it must agree."""
     found = df.where(F.col("name") == name)
-    places = [r.offset for r in found.select("offset").limit(1000).collect()]
-    if not places:
-        raise LogError(f"attachment {name} not found")
-    if offset is None and len(places) > 1:
-        raise LogError(f"several attachments named {name}: give an offset of {sorted(places)}")
-    if offset is not None and offset not in places:
-        raise LogError(f"attachment {name} not found at offset {offset}")
-    return found if offset is None else found.where(F.col("offset") == offset)
+    wanted = found if offset is None else found.where(F.col("offset") == offset)
+    n = wanted.count()
+    if offset is None and n > 1:
+        some = sorted(r.offset for r in found.select("offset").limit(20).collect())  # for the message alone
+        raise LogError(f"{n} attachments named {name}: give an offset, as {some}{' or others' if n > len(some) else ''}")
+    if not n:
+        raise LogError(f"attachment {name} not found" + ("" if offset is None else f" at offset {offset}"))
+    return wanted

@@ -70,7 +70,7 @@ def check_ids(mapping: DataFrame) -> DataFrame:
 def merge_metadata(metadata: DataFrame, allow_duplicates: bool = False) -> DataFrame:
     """A name that comes twice is an error, unless allowed; then equal records collapse."""
     if not allow_duplicates:
-        if metadata.groupBy("name").count().where("count > 1").head(1):
-            raise LogError("duplicate metadata name")
+        if twice := metadata.groupBy("name").count().where("count > 1").head(1):
+            raise LogError(f"metadata name {twice[0].name!r} comes more than once: allow duplicates to merge them")
         return metadata
     return metadata.withColumn("_m", F.array_sort(F.map_entries("metadata"))).dropDuplicates(["name", "_m"]).drop("_m")

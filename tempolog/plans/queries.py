@@ -172,8 +172,7 @@ def order_file_rank(spark, d):
 
 @query("SELECT sequence, row_number() OVER (ORDER BY topic, channel_id, log_time, chunk_offset, msg_offset) AS rank FROM jittered")
 def order_topic_rank(spark, d):
-    # channel ids rise with the topic, so the id leads
-    return order.global_rank(A.messages(spark, d, True), ["channel_id", "log_time", "chunk_offset", "msg_offset"]).select("sequence", "rank")
+    return order.global_rank(A.messages(spark, d, True), ["topic", "channel_id", "log_time", "chunk_offset", "msg_offset"]).select("sequence", "rank")
 
 
 @query(f"SELECT sequence, row_number() OVER (ORDER BY log_time, channel_id, sequence, publish_time) AS rank FROM ({_LAST})")
@@ -356,7 +355,7 @@ def merge_schema_ids(spark, d):
 
 @query("SELECT sequence, log_time, m AS max_before FROM (SELECT *, max(log_time) OVER (ORDER BY chunk_offset, msg_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM jittered) WHERE log_time < m")
 def doctor_out_of_order(spark, d):
-    return order.running_max_before(A.messages(spark, d, True), ["chunk_offset", "msg_offset"], "log_time").where("log_time < max_before").select("sequence", "log_time", "max_before")
+    return order.running_max_before(A.messages(spark, d, True), ["chunk_offset", "msg_offset"], "log_time", by="file").where("log_time < max_before").select("sequence", "log_time", "max_before")
 
 
 @query("SELECT sequence FROM (SELECT *, lag(log_time) OVER (PARTITION BY chunk_offset ORDER BY msg_offset) AS p FROM jittered) WHERE log_time < p")

@@ -6,6 +6,7 @@ Options: ``path`` (files or folders, comma-separated), ``relation`` (default
 ``recordLengthLimit``, ``maxDecompressedSize``, ``mode`` (``PERMISSIVE``
 salvages), ``emitInvalidChunks`` (rows of chunks whose checksum differs),
 ``dropUndefined`` (messages whose channel is not defined before them go),
+``keepUnknown`` (messages of no channel at all stay, without a topic),
 ``partitionBytes``, ``planFiles``, ``maxScanBytes`` (a scan that would read more
 is an error), ``codecs`` (modules to import on executors; they register codecs).
 Writing: ``relation`` (messages, attachments or metadata), ``compression``,
@@ -85,7 +86,7 @@ class Options:
         self.max_scan = int(get("maxScanBytes", 0))
         self.plan_files = int(get("planFiles", 256))
         flag = lambda k: str(get(k, "false")).lower() == "true"
-        self.emit_invalid, self.drop_undefined = flag("emitInvalidChunks"), flag("dropUndefined")
+        self.emit_invalid, self.drop_undefined, self.keep_unknown = flag("emitInvalidChunks"), flag("dropUndefined"), flag("keepUnknown")
         self.max_open = int(get("maxDecompressedSize", 0)) or None
         self.chunk_offsets = self.msg_offsets = None
         self.codecs = [m for m in get("codecs", "").split(",") if m]
@@ -256,6 +257,8 @@ class LogReader(DataSourceReader):
         o = self.o
         c = channels.get(cid)
         if c is None:
+            if o.keep_unknown and o.topics is None:
+                return (None,) * 5
             if o.lenient or o.drop_undefined:
                 return None
             raise LogError(f"{path}: message of unknown channel {cid}")
@@ -355,9 +358,14 @@ def relation(path: str, o: Options) -> Iterator[dict]:
     if name in FROM_SUMMARY:
         f, size = files.open_random(path)
         with f:
-            s = r.read_summary(f, size)
+            try:
+                s = r.read_summary(f, size, o.crc and not o.lenient)
+            except LogError:
+                if not o.lenient:
+                    raise
+                s = None
         if s is not None or name == "header":
-            s = s or r.Summary(header=next((r.decode(op, b) for op, _, _, b in r.scan(files.read_all(path), False) if op == r.HEADER), {}))
+            s = s or r.Summary(header=next((r.decode(op, b) for op, _, _, b in r.scan(files.read_all(path), False, None, _quiet if o.lenient else None) if op == r.HEADER), {}))
             got = {"summary_channels": s.channels.values(), "summary_schemas": s.schemas.values(), "chunk_index": s.chunks, "attachment_index": s.attachments, "statistics": [s.statistics] if s.statistics else [], "header": [s.header] if s.header else [], "footer": [s.footer] if s.footer else [], "summary_offsets": s.offsets}[name]
             for i, v in enumerate(got):
                 yield {"file": path, "file_pos": i} | v
