@@ -114,6 +114,37 @@ class Engine:
         rows = self.messages(path, [topic] if topic else None, **options)
         return decode.decoded(rows, self.definitions(path, "schemas"))
 
+    def typed(self, path: str, topic: str, **options) -> DataFrame:
+        """A topic's messages with ``value``: a struct of the types that its definition states (ROS 1, ROS 2), else a VARIANT."""
+        rows = self.decoded(path, topic, **options)
+        seen = self.definitions(path, "channels").where(F.col("topic") == topic).select("file", F.col("schema_id").alias("id"), "message_encoding").join(self.definitions(path, "schemas"), ["file", "id"])
+        kinds = seen.select("message_encoding", "encoding", "name", "data").distinct().limit(2).collect()
+        if len(kinds) != 1:
+            raise LogError(f"topic {topic} has {'several schemas' if kinds else 'no schema'}")
+        kind = kinds[0]
+        if kind.encoding in ("ros1msg", "ros2msg"):
+            return rows.withColumn("value", F.from_json("json", decode.spark_type(kind.name, bytes(kind.data).decode(), kind.encoding == "ros1msg")))
+        return rows.withColumn("value", F.parse_json("json"))
+
+    def _typed_as(self, path: str, topic: str, encoding: str, options: dict) -> DataFrame:
+        rows = self.typed(path, topic, **options)
+        if other := rows.where(F.col("message_encoding") != encoding).select("message_encoding").head(1):
+            raise LogError(f"topic {topic} is encoded as {other[0].message_encoding}, not {encoding}")
+        return rows
+
+    def read_ros1(self, path: str, topic: str, **options) -> DataFrame:
+        return self._typed_as(path, topic, "ros1", options)
+
+    def read_ros2(self, path: str, topic: str, **options) -> DataFrame:
+        return self._typed_as(path, topic, "cdr", options)
+
+    def read_protobuf(self, path: str, topic: str, **options) -> DataFrame:
+        return self._typed_as(path, topic, "protobuf", options)
+
+    def write_typed(self, rows: DataFrame, path: str, topic: str, message_encoding: str, schema_encoding: str, schema_name: str, schema_data: bytes, **options) -> None:
+        """Values (a struct or JSON text in ``value``, with ``log_time``) as messages of one topic; the payloads are encoded on executors."""
+        self.write(decode.encoded(rows, topic, message_encoding, schema_encoding, schema_name, schema_data), path, **options)
+
     def message(self, path: str, chunk_offset: int, msg_offset: int) -> DataFrame:
         """One message by its place: only its chunk is read."""
         return self.relation(path).where((F.col("chunk_offset") == chunk_offset) & (F.col("msg_offset") == msg_offset))
@@ -332,13 +363,19 @@ class Engine:
             self.relation(path, name, **options).mapInArrow(caller(fn), "none int").write.format("noop").mode("overwrite").save()
 
     def add(self, path: str, out: str, attachment: dict | None = None, metadata: tuple[str, dict] | None = None, options: records.WriteOptions | None = None) -> None:
-        """One file again with one more attachment or metadata record (in-place change is beyond Spark's sinks)."""
-        data = files.read_all(path)
+        """One file again with one more attachment or metadata record: its data is copied as it is, a piece at a time, and the summary is made anew.
+
+        A file without a summary is written anew from its records.
+        """
+        source, size = files.open_random(path)
         fs, root = files.resolve(out)
-        with fs.open_output_stream(root) as f:
-            w = records.Writer(f, options or records.WriteOptions())
+        with source, fs.open_output_stream(root) as sink:
+            if options is None and records.amend(source, size, sink, [attachment] if attachment else [], [metadata] if metadata else []):
+                return
+            w = records.Writer(sink, options or records.WriteOptions())
             attached, named = [], []
-            for op, _, _, body in records.scan(data):
+            source.seek(0)
+            for op, _, _, body in records.scan(source.read()):
                 v = records.decode(op, body) if op in (records.SCHEMA, records.CHANNEL, records.MESSAGE, records.ATTACHMENT, records.METADATA) else None
                 if op == records.SCHEMA and v["id"]:
                     w.add_schema(v["name"], v["encoding"], v["data"], v["id"])

@@ -13,21 +13,26 @@ from ..model import MESSAGE_OVERHEAD
 CHUNK_BYTES = 1 << 20
 
 
-def greedy_chunks(messages: DataFrame, target: int = CHUNK_BYTES, order: tuple[str, ...] = ("log_time", "sequence")) -> DataFrame:
-    """``messages`` with ``chunk`` (in its partition) and ``msg_offset``: a chunk closes once its size exceeds ``target``.
+def greedy_chunks(messages: DataFrame, target: int = CHUNK_BYTES, order: tuple[str, ...] = ("log_time", "sequence"), by: str | None = None) -> DataFrame:
+    """``messages`` with ``partition``, ``chunk`` (in its partition) and ``msg_offset``: a chunk closes once its size exceeds ``target``.
 
-    A running size that starts anew can't be a window sum, so each sorted range is walked once, batch by batch.
+    A running size that starts anew can't be a window sum, so each sorted range is walked once, batch by batch.  With ``by``
+    each value of that column is a log of its own, chunked from 0.
     """
-    rows = messages.drop("chunk", "msg_offset").repartitionByRange(order[0]).sortWithinPartitions(*order)
+    rows = messages.drop("chunk", "msg_offset")
+    rows = rows.repartition(by).sortWithinPartitions(by, *order) if by else rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
     schema = rows.withColumns({"partition": F.lit(0), "chunk": F.lit(0).cast("long"), "msg_offset": F.lit(0).cast("long")}).schema
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, chunk, size = TaskContext.get().partitionId(), 0, 0
+        part, chunk, size, now = TaskContext.get().partitionId(), 0, 0, None
         for batch in batches:
             chunks, offsets = [], []
-            for n in pa.compute.binary_length(batch.column("data")).to_pylist():
+            of = batch.column(by).to_pylist() if by else [None] * batch.num_rows
+            for n, own in zip(pa.compute.binary_length(batch.column("data")).to_pylist(), of):
+                if own != now:
+                    now, chunk, size = own, 0, 0
                 if size > target:
                     chunk, size = chunk + 1, 0
                 chunks.append(chunk)

@@ -545,9 +545,14 @@ def stream_log_time_rank(spark, d):
 
 def _run_stream(df: DataFrame, name: str, mode: str) -> DataFrame:
     spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    out = _log_path(spark, name)  # each batch has the whole result: the last one stays, in the shared folder
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    q = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", _log_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)
 
 
 def _events_stream(spark, d) -> DataFrame:
@@ -580,28 +585,43 @@ def stream_tumbling_count(spark, d):
 # ---- operators on files: written, read back
 
 
-@query()
+@query(
+    """, located_all AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY log_time, sequence) AS rn, strlen(data) + 31 AS n FROM jittered),
+    walk AS (
+        SELECT topic, rn, 0 AS chunk, n AS size FROM located_all WHERE rn = 1
+        UNION ALL
+        SELECT w.topic, l.rn, CASE WHEN w.size > 4096 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.size > 4096 THEN l.n ELSE w.size + l.n END FROM walk w JOIN located_all l ON l.topic = w.topic AND l.rn = w.rn + 1
+    ) SELECT topic, CAST(chunk AS BIGINT) AS chunk, count(*) AS messages, CAST(max(size) AS BIGINT) AS bytes FROM walk GROUP BY topic, chunk"""
+)
 def greedy_chunking(spark, d):
-    """Chunks of 4 KiB: how many messages and bytes each has."""
-    m = chunking.greedy_chunks(A.messages(spark, d, True), 4096)
-    return m.groupBy("partition", "chunk").agg(F.count("*").alias("messages"), F.sum(F.octet_length("data") + 31).alias("bytes"))
+    """Chunks of 4 KiB for each topic: how many messages and bytes each has."""
+    m = chunking.greedy_chunks(A.messages(spark, d, True), 4096, by="topic")
+    return m.groupBy("topic", "chunk").agg(F.count("*").alias("messages"), F.sum(F.octet_length("data") + 31).alias("bytes"))
+
+
+ORACLE_SQL["greedy_chunking"] = ORACLE_SQL["greedy_chunking"].replace("WITH channels", "WITH RECURSIVE channels", 1)
 
 
 def _log_path(spark, name: str) -> str:
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tempolog-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    from ..sources.files import shared_root
 
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-def _round_trip(spark, d):
+
+def _round_trip(spark, d, kept: bool = False, **options):
+    """The events as a log; with ``kept`` all documents are its attachments and all nations its metadata records."""
     from ..engine import Engine
 
     e = Engine(spark)
     path = _log_path(spark, "log")
-    rows = join.message_view(A.messages(spark, d, True), A.channels(spark, d), A.schemas(spark, d)).withColumns({"schema_data": F.lit('{"type":"object"}').cast("binary"), "channel_metadata": F.lit(None).cast("map<string,string>")})
-    e.write(rows, path, chunkSize=16384)
+    rows = join.message_view(A.messages(spark, d, True), A.channels(spark, d), A.schemas(spark, d)).withColumns({"schema_data": F.lit('{"type":"object"}').cast("binary"), "channel_metadata": F.create_map(F.lit("channel"), F.col("channel_id").cast("string"))})
+    more = {}
+    if kept:
+        more["attachments"] = A.attachments(spark, d).select("name", "media_type", "log_time", "create_time", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+        more["metadata"] = A.read(spark, d, "nation").select(F.col("n_name").alias("name"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("metadata"))
+    e.write(rows, path, **{"chunkSize": 16384, "order_by": "log_time"} | options, **more)
     return e, path
 
 
@@ -611,20 +631,178 @@ def log_round_trip(spark, d):
     return e.relation(path).select("topic", "schema_name", "sequence", "log_time", "publish_time", F.col("data").cast("string").alias("payload"))
 
 
+@query("SELECT m.topic, s.name AS schema_name, sequence, log_time, publish_time, data AS payload FROM jittered m JOIN channels c ON c.id = m.channel_id LEFT JOIN schemas s ON s.id = c.schema_id")
+def log_linear_scan(spark, d):
+    """A log without chunks, index and statistics."""
+    e, path = _round_trip(spark, d, useChunking=False, statistics=False)
+    return e.relation(path).select("topic", "schema_name", "sequence", "log_time", "publish_time", F.col("data").cast("string").alias("payload"))
+
+
+@query("SELECT topic, sequence, log_time FROM jittered")
+def log_split_scan(spark, d):
+    """Planned by byte ranges alone, as with very many files."""
+    e, path = _round_trip(spark, d)
+    return e.relation(path, planFiles=0, partitionBytes=20_000, payload=False).select("topic", "sequence", "log_time")
+
+
 @query(f"SELECT topic, sequence, log_time FROM jittered WHERE topic IN ('click', 'view') AND log_time >= {START} AND log_time < {END}")
 def log_indexed_scan(spark, d):
     e, path = _round_trip(spark, d)
     return e.messages(path, topics=["click", "view"], start=START, end=END).select("topic", "sequence", "log_time")
 
 
+@query("SELECT topic, sequence, log_time FROM jittered")
+def log_message_index(spark, d):
+    """Every entry of the message index leads to its message."""
+    e, path = _round_trip(spark, d)
+    entries = e.relation(path, "message_index").select("file", "chunk_offset", F.explode("entries").alias("e")).select("file", "chunk_offset", F.col("e.msg_offset").alias("msg_offset"), F.col("e.log_time").alias("t"))
+    return e.relation(path, payload=False).join(entries, ["file", "chunk_offset", "msg_offset"]).where("t = log_time").select("topic", "sequence", "log_time")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS messages, min(log_time) AS first_time, max(log_time) AS last_time FROM jittered")
 def log_summary(spark, d):
     e, path = _round_trip(spark, d)
     return e.relation(path, "statistics").agg(F.sum("message_count").alias("messages"), F.min("message_start_time").alias("first_time"), F.max("message_end_time").alias("last_time"))
 
 
+@query("SELECT count(*) AS messages, (SELECT count(*) FROM documents) AS attachments, (SELECT count(*) FROM nation) AS metadata FROM jittered")
+def log_scanned_statistics(spark, d):
+    """Statistics of a log without an index, counted from its records."""
+    e, path = _round_trip(spark, d, True, useChunking=False, statistics=False)
+    s = e.statistics(path)
+    return s.agg(F.sum("message_count").alias("messages"), F.sum("attachment_count").alias("attachments"), F.sum("metadata_count").alias("metadata"))
+
+
 @query("SELECT '' AS severity, '' AS rule WHERE false", prelude=False)
 def log_doctor(spark, d):
     """A log as written has no fault."""
     e, path = _round_trip(spark, d)
     return e.doctor(path).df.select("severity", "rule")
+
+
+@query("SELECT '' AS severity, '' AS rule WHERE false", prelude=False)
+def log_doctor_several(spark, d):
+    """Nor have two sound logs, one after the other, of the same time."""
+    e, path = _round_trip(spark, d)
+    return e.doctor(f"{path},{_round_trip(spark, d, True)[1]}").df.select("severity", "rule")
+
+
+# ---- rewrites: messages, attachments and metadata records before and after
+
+_KEPT = " UNION ALL SELECT 'attachments', count(*), CAST({n} * sum(strlen(coalesce(text, ''))) AS BIGINT) FROM documents UNION ALL SELECT 'metadata', count(*), CAST(sum(n_regionkey) AS BIGINT) FROM nation"
+_ALL = "SELECT 'messages' AS kind, count(*) AS n, CAST(sum(strlen(data)) AS BIGINT) AS weight FROM jittered"
+
+
+def _kept(e, path) -> DataFrame:
+    """By kind: how many, and bytes of payloads and attachments or the sum of the regions."""
+    out = None
+    for kind, weight in (("messages", F.octet_length("data")), ("attachments", F.octet_length("data")), ("metadata", F.col("metadata")["region"].cast("long"))):
+        df = e.relation(path, kind).agg(F.count("*").alias("n"), F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("weight")).select(F.lit(kind).alias("kind"), "n", "weight")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _rewrite(name: str, sql: str, do):
+    def run(spark, d):
+        e, path = _round_trip(spark, d, True)
+        out = _log_path(spark, name)
+        do(e, path, out)
+        return _kept(e, out)
+
+    run.__name__ = name
+    return query(sql)(run)
+
+
+_rewrite("log_filter", _ALL + f" WHERE topic IN ('click', 'view') AND log_time >= {START} AND log_time < {END}" + _KEPT.format(n=1), lambda e, p, o: e.filter(p, o, include=["click", "v.*"], start=START, end=END))
+_rewrite("log_filter_without", _ALL + " UNION ALL SELECT 'attachments', 0, 0 UNION ALL SELECT 'metadata', 0, 0", lambda e, p, o: e.filter(p, o, include_attachments=False, include_metadata=False))
+_rewrite("log_sort", _ALL + _KEPT.format(n=1), lambda e, p, o: e.sort(p, o, "topic"))
+_rewrite("log_compress", _ALL + _KEPT.format(n=1), lambda e, p, o: e.compress(p, o, "lz4"))
+_rewrite("log_decompress", _ALL + _KEPT.format(n=1), lambda e, p, o: e.decompress(p, o))
+_rewrite("log_recover", _ALL + _KEPT.format(n=1), lambda e, p, o: e.recover(p, o))
+_rewrite(
+    "log_merge", "SELECT 'messages' AS kind, 2 * count(*) AS n, CAST(2 * sum(strlen(data)) AS BIGINT) AS weight FROM jittered" + _KEPT.format(n=2).replace("'attachments', count(*)", "'attachments', 2 * count(*)"),
+    lambda e, p, o: e.merge([p, p], o, allow_duplicate_metadata=True),
+)
+
+
+@query("SELECT 'message' AS kind, count(*) AS recovered, 0 AS discarded FROM jittered UNION ALL SELECT 'attachment', count(*), 0 FROM documents UNION ALL SELECT 'metadata', count(*), 0 FROM nation")
+def log_recovery_tallies(spark, d):
+    e, path = _round_trip(spark, d, True)
+    found = e.relation(path, "recovery", mode="PERMISSIVE").where("kind in ('message', 'attachment', 'metadata')")
+    return found.groupBy("kind").agg(F.sum("recovered").alias("recovered"), F.sum("discarded").alias("discarded"))
+
+
+@query("SELECT topic, CAST(channel_id AS VARCHAR) AS own, count(*) AS n FROM jittered GROUP BY ALL UNION ALL SELECT topic, CAST(channel_id AS VARCHAR), count(*) FROM jittered GROUP BY ALL")
+def log_merge_apart(spark, d):
+    """Merged without coalescing: the channels of both inputs stay apart, with the metadata they have."""
+    e, path = _round_trip(spark, d)
+    out = _log_path(spark, "apart")
+    e.merge([path, path], out, "none")
+    rows = e.with_schema_data(e.relation(out, payload=False), out)
+    # Each of the two has half of a channel's messages, under an id of its own in each file.
+    per = rows.groupBy("file", "topic", "channel_id", F.col("channel_metadata")["channel"].alias("own"), F.size("channel_metadata").alias("keys")).agg(F.count("*").alias("n")).where("keys = 1")
+    both = per.groupBy("topic", "own").agg((F.sum("n") / 2).cast("long").alias("n"), F.min(F.lit(2)).alias("two"))
+    return both.select("topic", "own", "n", F.explode(F.sequence(F.lit(1), "two"))).select("topic", "own", "n")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS messages, 0 AS too_long FROM jittered")
+def log_rotation(spark, d):
+    """Files of 100 messages at most."""
+    e, path = _round_trip(spark, d, maxFileMessages=100)
+    return e.relation(path, "statistics").agg(F.sum("message_count").alias("messages"), F.count_if(F.col("message_count") > 100).alias("too_long"))
+
+
+@query("SELECT sequence, log_time, publish_time, data ->> 'k' AS k FROM jittered WHERE topic = 'click'")
+def log_csv(spark, d):
+    e, path = _round_trip(spark, d)
+    return e.cat(path, "csv", topics=["click"]).df.select("sequence", "log_time", "publish_time", "k")
+
+
+@query(
+    """SELECT '{"topic":"' || topic || '","sequence":' || sequence || ',"log_time":"' || t || '","publish_time":"' || p || '","data":' || json(data) || '}' AS value
+    FROM (SELECT *, strftime(make_timestamp(log_time // 1000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(log_time % 1000000000 AS VARCHAR), 9, '0') || 'Z' AS t, strftime(make_timestamp(publish_time // 1000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(publish_time % 1000000000 AS VARCHAR), 9, '0') || 'Z' AS p FROM jittered)"""
+)
+def log_ndjson(spark, d):
+    e, path = _round_trip(spark, d)
+    return e.cat(path, "ndjson").df.select(F.regexp_replace("value", ": ", ":").alias("value"))
+
+
+def _typed(spark, d, encoding: str, schema_encoding: str):
+    from ..engine import Engine
+
+    e, path = Engine(spark), _log_path(spark, "typed")
+    definition = "uint32 order\nint32 line\nfloat64 quantity\nstring flag\nfloat64[] rates\n"
+    li = A.read(spark, d, "lineitem")
+    value = F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), F.array("l_discount", "l_tax").alias("rates"))
+    e.write_typed(li.select(tm.nanos_of(F.col("l_shipdate")).alias("log_time"), value.alias("value")), path, "/line", encoding, schema_encoding, "shop/msg/Line", definition.encode())
+    v = e.typed(path, "/line", order_by=None).select("log_time", "value.*")
+    return v.select("log_time", "order", "line", "quantity", "flag", F.col("rates")[0].alias("discount"), F.col("rates")[1].alias("tax"))
+
+
+_LINES = "SELECT epoch_us(l_shipdate) * 1000 AS log_time, l_orderkey AS \"order\", l_linenumber AS line, l_quantity AS quantity, l_returnflag AS flag, l_discount AS discount, l_tax AS tax FROM lineitem"
+
+
+@query(_LINES, prelude=False)
+def typed_ros1(spark, d):
+    """Values encoded, written, read, decoded, with the types that the definition states."""
+    return _typed(spark, d, "ros1", "ros1msg")
+
+
+@query(_LINES, prelude=False)
+def typed_ros2(spark, d):
+    return _typed(spark, d, "cdr", "ros2msg")
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL", prelude=False)
+def log_attachments(spark, d):
+    """All attachments of a log, read by offset."""
+    e, path = _round_trip(spark, d, True)
+    a = e.relation(path, "attachments")
+    docs = A.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("name"))
+    return a.join(docs, "name", "left_semi").select(F.col("name").cast("long").alias("doc_id"), F.col("data").cast("string").alias("text"))
+
+
+@query("SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation", prelude=False)
+def log_metadata(spark, d):
+    e, path = _round_trip(spark, d, True)
+    return e.relation(path, "metadata").select("name", F.col("metadata")["region"].alias("region"))

@@ -725,8 +725,9 @@ def register(spark: SparkSession) -> SparkSession:
     """Makes the formats of this package known to a session, and turns filter pushdown on."""
     from .rosbag import BagSource
     from .sqlite import Db3Source
+    from .ulog import ULogSource
 
-    for source in (LogSource, BagSource, Db3Source):
+    for source in (LogSource, BagSource, Db3Source, ULogSource):
         spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark

@@ -100,3 +100,14 @@ def read_all(path: str) -> bytes:
     f, _ = open_random(path)
     with f:
         return f.read()
+
+
+def shared_root(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where none is named (tests) a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="tempolog-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")

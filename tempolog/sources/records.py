@@ -377,7 +377,7 @@ class Writer:
         if o.repeat_channels:
             groups.append((CHANNEL, [encode(CHANNEL, **c) for i, c in sorted(self.channels.items()) if (CHANNEL, i) in self._written]))
         if o.statistics:
-            n = {k: sum(1 for op, _ in self._written if op == k) for k in (SCHEMA, CHANNEL)}
+            n = {k: sum(1 for op, _ in self._written if op == k) for k in (SCHEMA, CHANNEL)} | getattr(self, "counted", {})
             groups.append((STATISTICS, [encode(STATISTICS, message_count=self.messages, schema_count=n[SCHEMA], channel_count=n[CHANNEL], attachment_count=self.attachments, metadata_count=self.metadata, chunk_count=self.chunks, message_start_time=self.first or 0, message_end_time=self.last, channel_message_counts=self.counts)]))
         groups += [(CHUNK_INDEX, self.chunk_indexes if o.chunk_index else []), (ATTACHMENT_INDEX, self.attachment_indexes if o.attachment_index else []), (METADATA_INDEX, self.metadata_indexes if o.metadata_index else [])]
         summary, offsets = b"", b""
@@ -395,6 +395,47 @@ class Writer:
         self.at += len(tail) + 4 + len(MAGIC)
 
 
+def amend(source, size: int, sink, attachments: list[dict], metadata: list[tuple[str, dict]], piece: int = 1 << 22) -> bool:
+    """Copies a file with further records before the end of its data, and its summary anew; False (nothing written) if it has no summary."""
+    s = read_summary(source, size)
+    if s is None:
+        return False
+    # The data section ends with its end record, right before the summary.
+    source.seek(s.end - 13)
+    head = source.read(13)
+    if head[0] != DATA_END:
+        return False
+    keep_crc = head[9:] != bytes(4)
+    w = Writer.__new__(Writer)
+    w.out, w.options = sink, WriteOptions(data_crc=keep_crc, crcs=bool(s.footer["summary_crc"]) or keep_crc, summary_offsets=bool(s.footer["summary_offset_start"]), repeat_schemas=bool(s.schemas), repeat_channels=bool(s.channels), statistics=s.statistics is not None)
+    w.at = w.crc = 0
+    w._open_chunk()
+    source.seek(0)
+    left = s.end - 13
+    while left:
+        got = source.read(min(piece, left))
+        if not got:
+            raise LogError("the file ends before its data does")
+        w._raw(got)
+        left -= len(got)
+    w.schemas, w.channels = s.schemas, s.channels
+    w._schema_ids, w._channel_ids = {}, {}
+    w._written = {(SCHEMA, i) for i in s.schemas} | {(CHANNEL, i) for i in s.channels}
+    w.chunk_indexes, w.attachment_indexes, w.metadata_indexes = ([encode(op, **v) for v in some] for op, some in ((CHUNK_INDEX, s.chunks), (ATTACHMENT_INDEX, s.attachments), (METADATA_INDEX, s.metadata)))
+    t = s.statistics or {}
+    w.counts, w.messages, w.chunks = t.get("channel_message_counts", {}), t.get("message_count", 0), t.get("chunk_count", 0)
+    w.attachments, w.metadata = t.get("attachment_count", 0), t.get("metadata_count", 0)
+    w.first, w.last = t.get("message_start_time"), t.get("message_end_time", 0)
+    for name, values in metadata:
+        w.add_metadata(name, values)
+    for v in attachments:
+        w.attach(v["name"], v["media_type"], v["log_time"], v["create_time"], v["data"])
+    if s.statistics and not (s.schemas and s.channels):  # what the summary doesn't repeat still counts
+        w.counted = {SCHEMA: t["schema_count"], CHANNEL: t["channel_count"]}
+    w.finish()
+    return True
+
+
 # ---- readers
 
 
@@ -413,9 +454,9 @@ class Summary:
 
     @property
     def proves_complete(self) -> bool:
-        """Whether the index provably covers all messages."""
+        """Whether the index provably covers all messages, and repeats all definitions."""
         s = self.statistics
-        return bool(s) and s["chunk_count"] == len(self.chunks) and (s["chunk_count"] > 0 or s["message_count"] == 0)
+        return bool(s) and s["channel_count"] == len(self.channels) and s["schema_count"] == len(self.schemas) and s["chunk_count"] == len(self.chunks) and (s["chunk_count"] > 0 or s["message_count"] == 0)
 
 
 def _read_at(file, at: int, n: int) -> bytes:

@@ -6,10 +6,9 @@ Sequences count from 0 in each channel.
 
 from __future__ import annotations
 
-import shutil
 import sqlite3
-import tempfile
 from collections.abc import Iterator
+from contextlib import closing
 
 from pyspark.sql.datasource import DataSource
 from pyspark.sql.types import StructType
@@ -20,12 +19,8 @@ from .rosbag import SCHEMA, _Reader
 
 
 def read_db3(path: str) -> Iterator[dict]:
-    fs, root = files.resolve(path)
-    with tempfile.TemporaryDirectory() as tmp:  # the library reads local files; the copy goes with the task
-        local = f"{tmp}/db"
-        with fs.open_input_stream(root) as a, open(local, "wb") as b:
-            shutil.copyfileobj(a, b)
-        db = sqlite3.connect(local)
+    with closing(sqlite3.connect(":memory:")) as db:  # the library opens local files only: nothing is put on a local disk
+        db.deserialize(files.read_all(path))
         columns = {r[1] for r in db.execute("pragma table_info(topics)")}
         if not db.execute("select 1 from sqlite_master where type = 'table' and name = 'message_definitions'").fetchone():
             raise LogError("the recording has no message definitions")
@@ -45,7 +40,6 @@ def read_db3(path: str) -> Iterator[dict]:
                 raise LogError(f"message of unknown topic {topic}")
             n = count[topic] = count.get(topic, -1) + 1
             yield {"file": path, "sequence": n, "log_time": t, "publish_time": t, "data": data} | topics[topic]
-        db.close()
 
 
 class Db3Source(DataSource):

@@ -298,7 +298,12 @@ def test_commands(spark, folder, tmp_path, capsys):
     assert "# statistics" in do("info", a)[1] and "# topics" in do("du", a)[1]
     assert do("add", "metadata", a, "-o", str(tmp_path / "g.tlog"), "--name", "q", "--key", "x=y=z")[0] == 0
     assert do("get", "metadata", str(tmp_path / "g.tlog"), "--name", "q")[1] == '{"x":"y=z"}\n'
-    assert do("merge", a, a, "-o", str(tmp_path / "h"), "--coalesce-channels", "force")[0] == 0
+    with pytest.raises(LogError, match="'m'"):  # a name of metadata records that comes twice
+        do("merge", a, a, "-o", str(tmp_path / "h"), "--coalesce-channels", "force")
+    assert do("merge", a, a, "-o", str(tmp_path / "h"), "--coalesce-channels", "force", "--allow-duplicate-metadata")[0] == 0
+    assert do("filter", a, "-o", str(tmp_path / "i"), "--exclude-metadata", "--exclude-attachments")[0] == 0 and e.relation(str(tmp_path / "i"), "metadata").count() == 0
+    assert do("recover", a, "-o", str(tmp_path / "j"))[0] == 0
+    assert all(w in do("completion", s)[1] for s in ("bash", "zsh", "fish") for w in ("merge", "allow-duplicate-metadata"))
     with pytest.raises(LogError):
         do("cat", a, "--start-nsecs", "5", "--end-nsecs", "3")
 
