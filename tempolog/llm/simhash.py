@@ -227,12 +227,22 @@ def links(nodes: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
 SALTS = 64
 
 
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with a salt ``s`` from another column: the rows of a hot key lie in many tasks."""
+    return df.withColumn("s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _joined(dealt: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """``dealt`` (with its salt) joined with one row for each ``key``, which goes to the salts that the key has: no more than there are."""
+    places = dealt.select(key, "s").distinct().join(of, key)
+    return dealt.join(places, [key, "s"]).drop("s")
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """``a, b, m``: each neighbour b of a, with the least of a's neighbours; a hot a's neighbours stay apart."""
-    dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    parts = dealt.groupBy("a", "s").agg(F.min("b").alias("p"))
-    least = parts.groupBy("a").agg(F.min("p").alias("m"))
-    return dealt.join(parts.select("a", "s").join(least, "a"), ["a", "s"]).select("a", "b", "m")
+    dealt = _dealt(edges, "b")
+    least = dealt.groupBy("a").agg(F.min("b").alias("m"))
+    return _joined(dealt, "a", least).select("a", "b", "m")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -462,7 +472,7 @@ def _across(large: DataFrame, inside: DataFrame) -> DataFrame:
     rooted = sets.select("blob", "node").join(inside, F.col("node") == F.col("id"), "left").select("blob", "node", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "near-rooted")
     most = rooted.groupBy("blob", "root").agg(F.count("*").alias("n")).groupBy("blob").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    outer = rooted.join(most, "blob").withColumn("outer", F.col("root") != F.col("main")).select("node", "root", "outer")
+    outer = _joined(_dealt(rooted, "node"), "blob", most).withColumn("outer", F.col("root") != F.col("main")).select("node", "root", "outer")
 
     each = sets.select("blob", "node", F.size("s").alias("size"), F.explode("s").alias("x"))
     times = each.groupBy("blob", "x").agg(F.count("*").alias("n"))
@@ -506,7 +516,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     blobs = prints.join(roots, "id", "left").select("lo", "hi", F.coalesce("root", "id").alias("blob"))
     members = nodes.join(blobs, ["lo", "hi"]).select("blob", "node", "least_id", "text_hash")
     sizes = members.groupBy("blob").agg(F.count("*").alias("n")).where("n > 1")
-    members = members.join(sizes, "blob").select("blob", "n", "node", F.col("least_id").alias("doc_id"), "text_hash")
+    members = _joined(_dealt(members, "node"), "blob", sizes).select("blob", "n", "node", F.col("least_id").alias("doc_id"), "text_hash")
     # Repeated rows give a node more than once: the same text each time.
     members = members.withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
