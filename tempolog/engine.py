@@ -67,7 +67,9 @@ class Engine:
         df = self.relation(path, **options)
         if topics is not None:
             df = select.topics_in(df, topics)
-        if "," in path or len(files.listed(path)) > 1:  # files in their order, no order across them
+        if "," not in path:  # files of a folder are in order of their names
+            keys = ["file"]
+        elif len(files.listed(path)) > 1:  # those of a list in its order, no order across them
             place = {p: i for i, p in enumerate(files.listed(path))}
             df = df.withColumn("file_ordinal", F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col("file")])
             keys = ["file_ordinal"]

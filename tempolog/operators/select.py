@@ -68,7 +68,7 @@ def topics_where(messages: DataFrame, channels: DataFrame, predicate: Callable[[
     """An arbitrary Python predicate, run over the channels (65,535 a file at most) and never over messages."""
     keep = F.udf(predicate, "boolean")
     chosen = channels.select("topic").distinct().where(keep("topic"))
-    return messages.join(F.broadcast(chosen), "topic", "left_semi")
+    return messages.join(chosen, "topic", "left_semi")  # Spark broadcasts it by its size
 
 
 def semi_channels(channels: DataFrame, topics: Iterable[str]) -> DataFrame:

@@ -725,7 +725,7 @@ _rewrite(
 )
 
 
-@query("SELECT 'message' AS kind, count(*) AS recovered, 0 AS discarded FROM jittered UNION ALL SELECT 'attachment', count(*), 0 FROM documents UNION ALL SELECT 'metadata', count(*), 0 FROM nation")
+@query("SELECT 'message' AS kind, count(*) AS recovered, CAST(0 AS BIGINT) AS discarded FROM jittered UNION ALL SELECT 'attachment', count(*), 0 FROM documents UNION ALL SELECT 'metadata', count(*), 0 FROM nation")
 def log_recovery_tallies(spark, d):
     e, path = _round_trip(spark, d, True)
     found = e.relation(path, "recovery", mode="PERMISSIVE").where("kind in ('message', 'attachment', 'metadata')")
@@ -745,7 +745,7 @@ def log_merge_apart(spark, d):
     return both.select("topic", "own", "n", F.explode(F.sequence(F.lit(1), "two"))).select("topic", "own", "n")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS messages, 0 AS too_long FROM jittered")
+@query("SELECT CAST(count(*) AS BIGINT) AS messages, CAST(0 AS BIGINT) AS too_long FROM jittered")
 def log_rotation(spark, d):
     """Files of 100 messages at most."""
     e, path = _round_trip(spark, d, maxFileMessages=100)
