@@ -147,7 +147,8 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, constraint
 
 
 def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides the rest: words stay balanced until one document is left, which is drawn."""
+    """Decides the rest: all documents by falling size, so that short ones are left; words stay balanced until one is, which is drawn."""
+    p = _settle_large(p.astype(float), size.astype(float), rng, 2, 0.0)
     for constraints in (2, 1, 0):
         p = flight(p, size, rng, constraints)
     return p
