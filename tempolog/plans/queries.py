@@ -806,3 +806,170 @@ def log_attachments(spark, d):
 def log_metadata(spark, d):
     e, path = _round_trip(spark, d, True)
     return e.relation(path, "metadata").select("name", F.col("metadata")["region"].alias("region"))
+
+
+# ---- other recordings, converted
+
+
+def _converted(spark, d, suffix: str, make):
+    from ..engine import Engine
+    from . import recordings
+
+    e, out = Engine(spark), _log_path(spark, "converted")
+    e.convert(recordings.write(A.messages(spark, d, True).repartition(3, "sequence"), _log_path(spark, "recordings"), suffix, make), out)
+    return e.relation(out).select("topic", "schema_name", "message_encoding", "log_time", "publish_time", F.col("data").cast("string").alias("payload"))
+
+
+@query("SELECT topic, 'std_msgs/String' AS schema_name, 'ros1' AS message_encoding, log_time, log_time AS publish_time, data AS payload FROM jittered")
+def convert_bag(spark, d):
+    """Bags with a compressed chunk, converted to a log."""
+    from . import recordings
+
+    return _converted(spark, d, ".bag", recordings.bag)
+
+
+@query("SELECT topic, 'std_msgs/String' AS schema_name, 'cdr' AS message_encoding, log_time, log_time AS publish_time, data AS payload FROM jittered")
+def convert_db3(spark, d):
+    """SQLite recordings, converted to a log."""
+    from . import recordings
+
+    return _converted(spark, d, ".db3", recordings.db3)
+
+
+@query("SELECT user_id, epoch_us(ts) * 1000 AS log_time, value FROM events", prelude=False)
+def convert_point_cloud(spark, d):
+    """The events as CSV rows, a point each; rows of one time are one message."""
+    from ..sources import pointcloud
+
+    path = _log_path(spark, "points")
+    A.read(spark, d, "events").select(tm.nanos_of(F.col("ts")).alias("t"), "user_id", "value").write.csv(path, header=True)
+    m = pointcloud.messages(spark, path, "t")
+    points = F.from_json(F.col("data").cast("string"), "points array<struct<user_id: double, value: double>>")
+    return m.select("log_time", F.explode(points["points"]).alias("p")).select(F.col("p.user_id").cast("long").alias("user_id"), "log_time", F.col("p.value").alias("value"))
+
+
+# ---- commands on files
+
+
+def _one_file(spark, d):
+    """The events in one file, in no order."""
+    e, path = _round_trip(spark, d)
+    one = _log_path(spark, "one")
+    e.write(e.with_schema_data(e.relation(path), path).coalesce(1), one, order_by=None)
+    return e, e.relation(one, "header").head().file
+
+
+@query(
+    """SELECT t || ' ' || topic || ' [' || coalesce(schema_name, '') || '] [' || list_aggregate(list_transform(generate_series(1, least(10, length(data))), lambda i: CAST(ascii(data[i]) AS VARCHAR)), 'string_agg', ' ') || ']' || CASE WHEN length(data) > 10 THEN '...' ELSE '' END AS value
+    FROM (SELECT m.topic, s.name AS schema_name, data, strftime(make_timestamp(log_time // 1000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(log_time % 1000000000 AS VARCHAR), 9, '0') || 'Z' AS t FROM jittered m JOIN channels c ON c.id = m.channel_id LEFT JOIN schemas s ON s.id = c.schema_id)"""
+)
+def log_text(spark, d):
+    e, path = _round_trip(spark, d)
+    return e.cat(path, "text").df
+
+
+@query("SELECT log_time FROM jittered ORDER BY log_time DESC LIMIT 50")
+def log_reverse(spark, d):
+    """The last 50 messages of a file, read in reverse order."""
+    e, path = _one_file(spark, d)
+    return e.messages(path, reverse=True, payload=False).select("log_time").limit(50)
+
+
+@query("SELECT topic, sequence, log_time FROM jittered WHERE regexp_full_match(topic, 'c.*') AND length(topic) % 2 = 1")
+def log_topic_predicate(spark, d):
+    """Topics by pattern and by a Python predicate at once; chunks are pruned by both."""
+    e, path = _round_trip(spark, d)
+    return e.messages(path, include=["c.*"], where=lambda t: len(t) % 2 == 1, order_by=None).select("topic", "sequence", "log_time")
+
+
+@query(
+    f"""SELECT topic, log_time FROM jittered WHERE topic = 'click' AND log_time >= {START} AND log_time < {END}
+    UNION ALL SELECT topic, max(log_time) FROM jittered WHERE topic = 'view' AND log_time < {START} GROUP BY topic, channel_id"""
+)
+def log_filter_latest(spark, d):
+    """A filter that also takes the latest message before its start, of each channel of another topic."""
+    e, path = _round_trip(spark, d)
+    out = _log_path(spark, "latest")
+    e.filter(path, out, include=["click"], last_per_channel=["view"], start=START, end=END)
+    return e.relation(out, payload=False).select("topic", "log_time")
+
+
+@query("SELECT topic, CAST(sum(strlen(data)) AS BIGINT) AS bytes, count(*) AS messages FROM jittered GROUP BY topic")
+def log_du(spark, d):
+    e, path = _round_trip(spark, d)
+    return e.du(path)["topics"].select("topic", "bytes", "messages")
+
+
+@query("SELECT topic, count(*) AS n FROM jittered GROUP BY topic")
+def log_info(spark, d):
+    """Messages by topic, from the channels and frequencies that ``info`` shows of each file."""
+    e, path = _round_trip(spark, d)
+    shown, named = e.info(path)["frequency"], e.relation(path, "summary_channels").select("file", F.col("id").alias("channel_id"), "topic")
+    return shown.join(named, ["file", "channel_id"]).groupBy("topic").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT DISTINCT name, encoding, '{\"type\":\"object\"}' AS data FROM schemas")
+def log_list_schemas(spark, d):
+    e, path = _round_trip(spark, d)
+    return e.listed(path, "schemas").select("name", "encoding", "data").distinct()
+
+
+@query("SELECT topic, message_encoding, '{\"channel\":\"' || id || '\"}' AS metadata FROM channels")
+def log_list_channels(spark, d):
+    e, path = _round_trip(spark, d)
+    return e.listed(path, "channels").select("topic", "message_encoding", "metadata").distinct()
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, source AS media_type, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length FROM documents", prelude=False)
+def log_list_attachments(spark, d):
+    e, path = _round_trip(spark, d, True)
+    return e.listed(path, "attachments").select("name", "media_type", "length")
+
+
+@query("SELECT n_name AS name, '{\"region\":\"' || n_regionkey || '\"}' AS metadata FROM nation", prelude=False)
+def log_list_metadata(spark, d):
+    e, path = _round_trip(spark, d, True)
+    return e.listed(path, "metadata").select("name", "metadata")
+
+
+@query("SELECT text FROM documents WHERE doc_id = 42", prelude=False)
+def log_get_attachment(spark, d):
+    e, path = _round_trip(spark, d, True)
+    return e.attachment(path, "42").select(F.col("data").cast("string").alias("text"))
+
+
+@query("SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation WHERE n_nationkey = 7", prelude=False)
+def log_get_metadata(spark, d):
+    e, path = _round_trip(spark, d, True)
+    name = A.read(spark, d, "nation").where("n_nationkey = 7").head().n_name
+    return e.metadata(path, name).select(F.lit(name).alias("name"), F.col("metadata")["region"].alias("region"))
+
+
+@query("SELECT topic, sequence, log_time, data AS payload FROM jittered WHERE sequence = 5")
+def log_seek(spark, d):
+    """One message by its place in the file, as an index gives it."""
+    e, path = _round_trip(spark, d)
+    at = e.relation(path, payload=False).where("sequence = 5").select("file", "chunk_offset", "msg_offset").head()
+    return e.message(at.file, at.chunk_offset, at.msg_offset).select("topic", "sequence", "log_time", F.col("data").cast("string").alias("payload"))
+
+
+@query("SELECT topic, sequence, log_time FROM jittered")
+def log_chunks(spark, d):
+    """Every chunk's messages lie in the times that its index states."""
+    e, path = _round_trip(spark, d)
+    c = e.relation(path, "chunk_index").select("file", "chunk_offset", F.col("start_time").alias("s"), F.col("end_time").alias("t"))
+    return e.relation(path, payload=False).join(c, ["file", "chunk_offset"]).where("log_time between s and t").select("topic", "sequence", "log_time")
+
+
+@query("SELECT topic, sequence, log_time FROM jittered")
+def log_add(spark, d):
+    """A file with one more attachment and metadata record keeps its messages."""
+    from ..sources import files
+
+    e, file = _one_file(spark, d)
+    out = _log_path(spark, "added")
+    fs, root = files.resolve(out)
+    fs.create_dir(root, recursive=True)
+    e.add(file, out + "/a.tlog", attachment={"name": "more", "media_type": "text/plain", "log_time": 1, "create_time": 1, "data": b"x"}, metadata=("more", {"k": "v"}))
+    both = e.relation(out, "attachments").where("name = 'more'").select("file").join(e.relation(out, "metadata").where("name = 'more'").select("file"), "file")
+    return e.relation(out, payload=False).join(both, "file", "left_semi").select("topic", "sequence", "log_time")
