@@ -9,6 +9,8 @@ files only, and the manifest names those of the attempt that counted.
 The tokenizers library encodes whole texts, some at a time.  Only a text of
 more than ``PIECE_CHARS`` is handed to it in pieces, cut before spaces, and only
 where the tokenizer is found to cut there itself (:meth:`Encoder.cuts_at_spaces`).
+Steps of the tokenizer that leave a text's ids as they are are not run on it
+(:class:`Encoder`): it is the library, the file's model and the whole text still.
 
 Edge cases: a null or empty text has the end id alone; ids are integers (cast
 to bigint), null ones come first and are marked in the files; rows of one id
@@ -18,10 +20,14 @@ are alike; other columns are ignored; an empty table gives no file.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +39,46 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .common import bound_batches, shared_path
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END_ID = 1
 FILE_BYTES = 8 << 20
 #: Characters handed to the library at once, about; longer texts are cut where that is exact.
 PIECE_CHARS = 1 << 20
 
 
+#: The steps around the model that :class:`Encoder` knows shorter forms of, as tokenizer files write them.
+_STEPS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: The same pieces: the alternatives moved to the front begin with characters of their own, and nothing follows a run that could make it shorter.
+_PIECES = r"\p{L}++|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]++"
+#: Bytes of texts that byte-level writing leaves alone (or that separate pieces), and of UTF-8 below U+0300.
+_PLAIN = bytes([9, 10, 13, *range(32, 127)])
+_LOW = bytes(range(0xCC))
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; one in each worker."""
+    """Ids of texts as little-endian unsigned 32-bit integers; one in each worker.
+
+    With a tokenizer of the steps :data:`_STEPS`, a text without added tokens
+    skips the steps that cannot change its ids.  Below U+0300 nothing composes,
+    so NFC is the identity; lower-casing is Python's, the same there character by
+    character; a run of white space is dropped between pieces whether or not it
+    was made one space.  In printable ASCII, byte-level writing is the identity
+    too.  All other texts, and all texts with other tokenizers, take every step.
+    """
 
     _made: dict[str, Encoder] = {}
 
@@ -52,13 +90,40 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
+        self.low = self.plain = None  # for texts below U+0300, and in printable ASCII; both with the model of ``full``
         self._cuts: bool | None = None
+        spec = json.loads(Path(path).read_text("utf-8"))
+        self._added = [t["content"] for t in spec["added_tokens"]]
+        if {k: spec.get(k) for k in _STEPS} == _STEPS and not any(t["normalized"] for t in spec["added_tokens"]):
+            split = pre_tokenizers.Split(Regex(_PIECES), "removed", invert=True)
+            self.low, self.plain = Tokenizer(self.full.model), Tokenizer(self.full.model)
+            self.low.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain.pre_tokenizer = split
+
+    def _steps(self, text: str) -> tuple[Tokenizer, str]:
+        """The tokenizer whose steps this text needs, and the text as that one takes it."""
+        if self.low is None:
+            return self.full, text
+        raw = text.encode()
+        if not text.isascii() and raw.translate(None, _LOW):
+            return self.full, text
+        lower = text.lower()
+        if any(a in text or a in lower for a in self._added):
+            return self.full, text
+        return (self.low if raw.translate(None, _PLAIN) else self.plain), lower
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        taken = [self._steps(t) for t in texts]
+        for tokenizer in (self.full, self.low, self.plain):
+            mine = [i for i, (t, _) in enumerate(taken) if t is tokenizer]
+            if mine:
+                for i, e in zip(mine, tokenizer.encode_batch_fast([taken[i][1] for i in mine], add_special_tokens=False)):
+                    out[i] = np.array(array("I", e.ids), "<u4")
+        return out
 
     @property
     def cuts_at_spaces(self) -> bool:

@@ -3,10 +3,12 @@
 import hashlib
 import io
 import itertools
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -312,6 +314,34 @@ def test_encoder_gives_what_the_library_gives(monkeypatch):
         assert [x.tolist() for x in e.encode(odd)] == [whole(t) for t in odd]
 
 
+def test_steps_that_change_no_id_are_skipped():
+    """Every pair of characters below U+0300; added tokens and other characters take every step."""
+    e = token_output.Encoder(TOKENIZER)
+    chars = [chr(c) for c in range(0x300)]
+    ascii_ = [chr(c) for c in (9, 10, 13, *range(32, 127))]
+    assert e._steps("It's 3.14, x_,y\r\n\tEND")[0] is e.plain and e._steps("a\x00b \x7f É İ\xa0ʯ")[0] is e.low
+    for t in ("<|endoftext|>", "a <|EndOfText|>", "é <|STARTOFTEXT|> É", "e\u0301", "ΣΣ", "\u212b", "日本", "\U0001f600"):
+        assert e._steps(t)[0] is e.full
+    for some, tokenizer in ((chars, e.low), (ascii_, e.plain)):
+        rows = ["".join(f"{a}{b} " for b in some) for a in some]
+        assert all(e._steps(t)[0] is tokenizer for t in rows)
+        whole = e.full.encode_batch(rows, add_special_tokens=False)
+        assert all(x.tolist() == w.ids for x, w in zip(e._ids(rows), whole))
+    mixed = ["plain", "É", "日本", "", "<|endoftext|>", "plain too"]
+    assert [x.tolist() for x in e._ids(mixed)] == [e.full.encode(t, add_special_tokens=False).ids for t in mixed]
+
+
+def test_other_tokenizers_take_every_step(tmp_path):
+    odd = ["Don't <|endoftext|> É  x_,y", "plain  text\n", "日本"]
+    spec = json.loads(Path(TOKENIZER).read_text("utf-8"))
+    spec["normalizer"]["normalizers"].pop()  # no lower-casing
+    (tmp_path / "cased.json").write_text(json.dumps(spec), "utf-8")
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cased.json")):
+        e = token_output.Encoder(path)
+        assert all(e._steps(t)[0] is e.full for t in odd)
+        assert [x.tolist() for x in e.encode(odd)] == [e.full.encode(t, add_special_tokens=False).ids for t in odd]
+
+
 def test_token_output(spark, edge, none):
     e = token_output.Encoder(TOKENIZER)
     rows = [(r.doc_id, r.text or "") for r in edge.collect()]
