@@ -299,7 +299,7 @@ class Engine:
         rows = self.messages(path, include=include, exclude=exclude, start=start, end=end, order_by=None)
         if last_per_channel:
             before = self.messages(path, include=last_per_channel, order_by=None)
-            rows = join.last_per_channel(before, start).withColumn("phase", F.lit(0)).unionByName(rows.withColumn("phase", F.lit(1)), allowMissingColumns=True)
+            rows = join.last_of_identity(join.last_per_channel(before, start), self.channel_identities(path)).withColumn("phase", F.lit(0)).unionByName(rows.withColumn("phase", F.lit(1)), allowMissingColumns=True)
         self.write(self.with_schema_data(rows, path), out, order_by=order_by, profile=self.profile(path), **self.kept(path, include_attachments, include_metadata), **options)
 
     def sort(self, path: str, out: str, order_by: str = "log_time", **options) -> None:

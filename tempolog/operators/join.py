@@ -42,6 +42,13 @@ def last_per_channel(messages: DataFrame, before: int) -> DataFrame:
     return found.select("m.*")
 
 
+def last_of_identity(latest: DataFrame, identities: DataFrame) -> DataFrame:
+    """Of the latest messages of each file's channels those of the whole log: ``identities`` says which channels of its files are one."""
+    place = F.struct("log_time", "file", "chunk_offset", "msg_offset")
+    named = latest.join(identities.select("file", "channel_id", "identity", "copy"), ["file", "channel_id"])
+    return named.groupBy("identity", "copy").agg(F.max_by(F.struct(*latest.columns), place).alias("m")).select("m.*")
+
+
 def last_per_channel_ranked(messages: DataFrame, before: int) -> DataFrame:
     """The same by ``row_number``: Catalyst's group limit prunes each task's rows first."""
     w = Window.partitionBy("file", "channel_id").orderBy(F.desc("log_time"), F.desc("chunk_offset"), F.desc("msg_offset"))

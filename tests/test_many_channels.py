@@ -32,6 +32,14 @@ def messages(spark, rows):
     return spark.createDataFrame([(topic, "json", {"own": own}, i, t, b"{}") for i, (topic, own, t) in enumerate(rows)], CHANNEL).coalesce(1)
 
 
+def test_latest_message_of_a_channel_in_several_files(engine, spark, tmp_path):
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    engine.write(messages(spark, [("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("b", "x", 4), ("a", "x", 9)]), path, order_by=None, maxFileMessages=2)
+    assert engine.relation(path, "header").count() == 3
+    engine.filter(path, out, include=["b"], last_per_channel=["a"], start=4)
+    assert sorted((x.topic, x.log_time) for x in engine.relation(out).collect()) == [("a", 2), ("a", 3), ("b", 4)]
+
+
 def test_small_files_share_tasks(engine, spark, tmp_path):
     out = str(tmp_path / "out")
     engine.write(messages(spark, [("t", "x", i) for i in range(300)]), out, order_by=None, maxFileMessages=1)
