@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from .time import rfc3339
 
 
-def human_bytes(n: Column) -> Column:
-    """Base 1000, two decimals, rounded before the unit is chosen."""
+def human_bytes(n: Column, units: tuple[str, ...] = ("B", "kB", "MB", "GB", "TB", "PB")) -> Column:
+    """Base 1000, two decimals, rounded before the unit is chosen; what the last unit is too small for stays in it."""
     out = None
-    units = ("B", "kB", "MB", "GB", "TB", "PB")
     for i, unit in enumerate(units):
         value = F.round(n.cast("double") / F.lit(1000.0**i) * 100) / 100
         shown = F.concat(F.format_string("%.2f", value), F.lit(f" {unit}"))
